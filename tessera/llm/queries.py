@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontam import OP4_SQL, op4_decontamination
+from tessera.llm.langid import op10_language_id
 from tessera.llm.neardup import OP2_SQL, op2_minhash_near_dedup
 from tessera.llm.tiff import op7_media_tiff
 from tessera.llm.tokencount import op5_token_counts
+from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.urlfilter import OP3_SQL, op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_media_tiff": op7_media_tiff,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
