@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontam import OP4_SQL, op4_decontamination
 from tessera.llm.langid import op10_language_id
+from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.neardup import OP2_SQL, op2_minhash_near_dedup
+from tessera.llm.pii import op9_pii
 from tessera.llm.tiff import op7_media_tiff
 from tessera.llm.tokencount import op5_token_counts
 from tessera.llm.toxicity import op1_toxicity
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_media_tiff": op7_media_tiff,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
 
