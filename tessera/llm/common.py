@@ -79,6 +79,11 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def kept_schema(df: DataFrame, keep: tuple[str, ...]) -> str:
+    """The part of a schema string for columns that pass through."""
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+
 def filled(column: pa.Array) -> pa.Array:
     """Null texts as empty ones, in the 32-bit string layout."""
     return pc.fill_null(column.cast(pa.string()), "")

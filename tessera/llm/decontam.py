@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, bounded_batches, filled, mixed, raw, sliced, split_words, word_array
+from tessera.llm.common import ALNUM, bounded_batches, filled, kept_schema, mixed, raw, sliced, split_words, word_array
 from tessera.llm.urlfilter import LOWER, UPPER
 
 WINDOW = 10
@@ -101,19 +101,19 @@ def _blocks(benchmark: DataFrame, window: int) -> list[Windows]:
     return out
 
 
-def mark_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """Rows (doc_id, n_words, hits, items[, clean_text]), one for each document row.
+def mark_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_words, hits, items[, clean_text], *keep), one for each document row.
 
     ``hits`` are word numbers in runs [begin, end, begin, end, ...]; ``clean_text`` is the
     text without the bytes from the first to the last word of each run.
     """
     bounded_batches(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window)]
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     for number, block in enumerate(blocks):
         last = number == len(blocks) - 1
-        out = out.mapInArrow(_scanner(block, last, keep_text), "doc_id long, text string, n_words long, hits array<long>, items array<string>")
+        out = out.mapInArrow(_scanner(block, last, keep_text, keep), "doc_id long, text string, n_words long, hits array<long>, items array<string>" + kept_schema(docs, keep))
     return out.withColumnRenamed("text", "clean_text") if keep_text else out.drop("text")
 
 
@@ -121,8 +121,8 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
 
 
-def _scanner(block, last: bool, keep_text: bool):
-    names = ["doc_id", "text", "n_words", "hits", "items"]
+def _scanner(block, last: bool, keep_text: bool, keep: tuple[str, ...]):
+    names = ["doc_id", "text", "n_words", "hits", "items", *keep]
 
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = filled(part.column("text"))
@@ -140,7 +140,7 @@ def _scanner(block, last: bool, keep_text: bool):
             text = pa.array([_cut(t, r) for t, r in zip(part.column("text").to_pylist(), runs)], pa.string())
         else:
             text = part.column("text")
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(counts), pa.array(runs, pa.list_(pa.int64())), pa.array(merged, pa.list_(pa.string()))], names)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(counts), pa.array(runs, pa.list_(pa.int64())), pa.array(merged, pa.list_(pa.string())), *map(part.column, keep)], names)
 
     def run(batches):
         for part in sliced(batches, "text"):

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALPHA, GOLDEN, filled, hash_words, map_slices, mixed, split_words, word_array
+from tessera.llm.common import ALPHA, GOLDEN, filled, hash_words, kept_schema, map_slices, mixed, split_words, word_array
 
 CHAIN = 64
 BITS = 16
@@ -238,8 +238,8 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def identify(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Rows (doc_id, lang_pred, score), one for each row of docs."""
+def identify(docs: DataFrame, field: Field | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, lang_pred, score, *keep), one for each row of docs; keep names columns of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a fixed number of weights a language
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,10 +254,11 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
             best = sums.argmax(axis=1)
             names[good] = np.array(f.languages, object)[best[good]]
             scores[good] = np.clip(sums.max(axis=1)[good] / sums.sum(axis=1)[good], 0, 1)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), *map(part.column, keep)], ["doc_id", "lang_pred", "score", *keep])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(narrow, run, "doc_id long, lang_pred string, score double")
+    others = [c for c in keep if c != "text"]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    return map_slices(narrow, run, "doc_id long, lang_pred string, score double" + kept_schema(narrow, keep))
 
 
 def word_languages(docs: DataFrame, field: Field) -> DataFrame:

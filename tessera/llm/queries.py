@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontam import OP4_SQL, op4_decontamination
 from tessera.llm.langid import op10_language_id
+from tessera.llm.linededup import OP6_SQL, op6_line_dedup
 from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.neardup import OP2_SQL, op2_minhash_near_dedup
 from tessera.llm.pii import op9_pii
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_media_tiff": op7_media_tiff,
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
