@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import scalars
+from tessera.plans import ranking, scalars
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "ranking", "scalars"]
