@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import filters, ranking, scalars
+from tessera.plans import filters, joins, ranking, scalars
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filters", "ranking", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "filters", "joins", "ranking", "scalars"]
