@@ -163,13 +163,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def _open_pairs(live: DataFrame) -> DataFrame:
-    """The pairs of different components that each bucket still holds: rows (key, pairs)."""
-    parts = live.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    total, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
-    return parts.groupBy("key").agg(((total * total - squares) / 2).cast("long").alias("pairs")).where("pairs > 0")
-
-
 def similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -189,37 +182,116 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     if wanted.count() * 64 <= max(limit, 0):
         wanted = F.broadcast(wanted)  # its size was just counted
     sets = reliable(full_sets(docs, wanted, k))
-    bound, edges = max(20_000, classes.count()), None
-    labels = None
-    while True:
-        lead = live.groupBy("key").agg(F.max("place").alias("lead"), F.max_by("n_shingles", "place").alias("lead_size"), F.max_by("comp", "place").alias("lead_comp"))
-        below = live.join(lead, "key").where(F.col("place") < F.col("lead"))
-        pairs = below.where((F.col("comp") != F.col("lead_comp")) & similar_sizes("n_shingles", "lead_size", percent))
-        pairs = pairs.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct()
-        found = verified(pairs, sets, percent)
-        edges = reliable(found if edges is None else edges.union(found))
-        labels = components(edges)
-        now = labels.select(F.col("node").alias("cid"), "label")
-        rest = below.select("key", "cid", "n_shingles", "place").join(now, "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-        rest = reliable(rest)
-        open_ = _open_pairs(rest)
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            return labels
-        live = reliable(rest.join(open_.select("key"), "key", "left_semi"))
-        if left <= bound:
-            break
-    one, two = (live.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("cid", "n_shingles", "comp")]) for i in (1, 2))
-    pairs = one.join(two, "key").where((F.col("cid_1") < F.col("cid_2")) & (F.col("comp_1") != F.col("comp_2")) & similar_sizes("n_shingles_1", "n_shingles_2", percent))
-    found = verified(pairs.select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b")).distinct(), sets, percent)
+    lead = live.groupBy("key").agg(F.max("place").alias("lead"), F.max_by("n_shingles", "place").alias("lead_size"))
+    below = live.join(lead, "key").where(F.col("place") < F.col("lead"))
+    stars = below.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b"), "n_shingles", "lead_size")
+    edges = reliable(verified(stars.where(similar_sizes("n_shingles", "lead_size", percent)).select("a", "b").distinct(), sets, percent))
+    labels = None if edges.isEmpty() else components(edges)
+    now = live.select("key", "cid")
+    if labels is None:
+        now = now.withColumn("comp", F.col("cid"))
+    else:
+        now = now.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    now = reliable(now)
+    apart = now.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
+    open_ = reliable(now.join(apart.select("key"), "key", "left_semi"))
+    if open_.isEmpty():
+        return labels
+    heads = open_.groupBy("key").agg(F.min("cid").alias("b"))
+    families = components(open_.join(heads, "key").where(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b").distinct())
+    members = open_.select("cid", "comp").distinct().join(families.withColumnRenamed("node", "cid"), "cid")
+    found = reliable(family_links(members, sets, percent))
+    if found.isEmpty():
+        return labels
     return components(reliable(edges.union(found)))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
+BLOCK_ELEMENTS = 1 << 20
 
-    component_id is the smallest doc_id among the documents that links reach.
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of each family: an exact join, block against block.
+
+    members has rows (cid, comp, label), label being the family.
     """
+    full = members.join(sets, "cid")
+    sizes = full.groupBy("label").agg((F.sum(F.size("elements").cast("long")) / BLOCK_ELEMENTS).cast("int").alias("more"))
+    spread = full.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("more") + 1).cast("int"))
+    meets = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    pairs = meets.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "comp", "elements")
+
+    def join(group: pa.Table) -> pa.Table:
+        found = exact_links(group, percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return pairs.groupBy("label", "i", "j").applyInArrow(join, "a binary, b binary")
+
+
+def exact_links(group: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between sets of different components, at most one for two components that meet.
+
+    Sets of different blocks are joined, or those of the one block that there is.
+    """
+    group = group.combine_chunks()
+    cids, block = group.column("cid").to_pylist(), group.column("block").to_numpy()
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    lists = group.column("elements").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    tokens = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+    ends -= ends[0]
+    n, sizes = len(cids), np.diff(ends)
+    owner = np.repeat(np.arange(n), sizes)
+    # How many sets have each element; elements of one set only can be shared with none.
+    order = np.argsort(tokens, kind="stable")
+    run = np.append(True, tokens[order][1:] != tokens[order][:-1])
+    number = np.cumsum(run) - 1
+    often = np.bincount(number)[number]
+    shared = order[often > 1]
+    often, number = often[often > 1], number[often > 1]
+    # A set's prefix: its size - ceil(percent% of it) + 1 rarest elements.
+    budget = sizes + (-percent * sizes) // 100 + 1 - (sizes - np.bincount(owner[shared], minlength=n))
+    by_set = np.lexsort([number, often, owner[shared]])
+    who, number = owner[shared][by_set], number[by_set]
+    first = np.searchsorted(who, np.arange(n))
+    taken = np.arange(len(who)) - first[who] < budget[who]
+    who, number = who[taken], number[taken]
+    by_token = np.argsort(number, kind="stable")
+    posting, token = who[by_token], number[by_token]
+    first = np.searchsorted(who, np.arange(n + 1))
+    parent = {c: c for c in group.column("comp").to_pylist()}
+
+    def root(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    comps, out = group.column("comp").to_pylist(), []
+    for x in range(n):
+        mine = number[first[x] : first[x + 1]]
+        if not len(mine):
+            continue
+        begin, end = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
+        if (end - begin).max() < 2:
+            continue
+        near = np.unique(np.concatenate([posting[b:e] for b, e in zip(begin, end)]))
+        near = near[near < x]
+        near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
+        if across:
+            near = near[block[near] != block[x]]
+        xs = tokens[ends[x] : ends[x + 1]]
+        for y in near.tolist():
+            if root(comps[x]) == root(comps[y]):
+                continue
+            both = len(np.intersect1d(xs, tokens[ends[y] : ends[y + 1]], assume_unique=True))
+            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                out.append((cids[x], cids[y]))
+                parent[root(comps[x])] = root(comps[y])
+    return out
+
+
+def decisions(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (doc_id, tkey, n_shingles, component_id, kept), one for each row of docs."""
     signed = reliable(signatures(docs, k))
     rep = F.struct(F.coalesce("doc_id", F.lit(LEAST)), "tkey")
     classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
@@ -233,9 +305,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         linked = joined.where(F.col("label").isNotNull())
         lowest = linked.groupBy("label").agg(F.min("least").alias("component"))
         named = linked.join(lowest, "label").select("cid", "component").union(joined.where(F.col("label").isNull() & (F.col("copies") > 1)).select("cid", F.col("least").alias("component")))
-    out = signed.select("doc_id", "n_shingles", "cid").join(named.withColumn("known", F.lit(True)), "cid", "left")
+    out = signed.select("doc_id", "tkey", "n_shingles", "cid").join(named.withColumn("known", F.lit(True)), "cid", "left")
     component = F.when(F.col("known"), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "tkey", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
+
+    component_id is the smallest doc_id among the documents that links reach.
+    """
+    return decisions(docs, k, percent).drop("tkey")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those whose group keeps another document.
+
+    Rows that repeat both identifier and text stay or go together.
+    """
+    gone = decisions(docs, k, percent).where(~F.col("kept")).select(F.struct(F.coalesce("doc_id", F.lit(LEAST)), "tkey").alias("gone"))
+    key = F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST)), F.xxhash64(docs["text"].cast("string")))
+    return docs.join(gone, key == gone["gone"], "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
