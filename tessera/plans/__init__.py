@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregates, filters, joins, ranking, scalars
+from tessera.plans import aggregates, filters, graph, joins, ranking, scalars
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "joins", "ranking", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "graph", "joins", "ranking", "scalars"]
