@@ -29,7 +29,7 @@ def auroc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     below = F.sum("_n").over(w) - F.col("_n")
     rows = per.withColumn("_r", F.col("_p") * (below + (F.col("_n") + 1) / 2.0))
     p, n = F.sum("_p"), F.sum("_n")
-    return rows.groupBy(*keys).agg(((F.sum("_r") - p * (p + 1) / 2.0) / (p * (n - p))).alias("auroc"), p.alias("positives"), n.alias("n"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum("_r") - p * (p + 1) / 2.0, p * (n - p)).alias("auroc"), p.alias("positives"), n.alias("n"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -180,7 +180,7 @@ def a26(spark, d):
 
 
 @query("a27_auroc", """
-WITH r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM documents JOIN labels USING (doc_id)) SELECT lang, (sum(CASE WHEN quality = 1 THEN r END) - sum(quality) * (sum(quality) + 1) / 2.0) / (sum(quality) * (count(*) - sum(quality))) AS auroc, sum(quality)::BIGINT AS positives, count(*) AS n FROM r GROUP BY lang""")
+WITH r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM documents JOIN labels USING (doc_id)) SELECT lang, (sum(CASE WHEN quality = 1 THEN r END) - sum(quality) * (sum(quality) + 1) / 2.0) / nullif(sum(quality) * (count(*) - sum(quality)), 0) AS auroc, sum(quality)::BIGINT AS positives, count(*) AS n FROM r GROUP BY lang""")
 def a27(spark, d):
     both = load(spark, d, "documents").select("doc_id", "lang", "n_chars").join(load(spark, d, "labels"), "doc_id")
     return agg.auroc(both, ["lang"], "quality", "n_chars")
