@@ -98,15 +98,17 @@ def path_of(url: Column) -> Column:
 def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: dict[str, str], block_globs: tuple[str, ...]) -> DataFrame:
     """Rows (id, host, path, rule, verdict)."""
     ordered = sorted(rules, key=lambda r: (-len(r), r))
-    machine = ShiftAnd([f"{r}*" for r in ordered] + [f"*.{r}*" for r in ordered] + list(block_globs))
+    # Hosts and paths hold no "#", so with one between them a rule's host cannot match in a path.
+    marked = [r.replace("/", "#/", 1) for r in ordered]
+    ruled, spammed = ShiftAnd([f"{r}*" for r in marked] + [f"*.{r}*" for r in marked]), ShiftAnd(list(block_globs))
     k = len(ordered)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        hit = machine.match(filled(part.column("url")))
-        fits = hit[:, :k] | hit[:, k : 2 * k]
+        hit = ruled.match(filled(part.column("marked")))
+        fits = hit[:, :k] | hit[:, k:]
         some = fits.any(axis=1)
         rule = np.where(some, fits.argmax(axis=1), k)
-        spam = hit[:, 2 * k :].any(axis=1)
+        spam = spammed.match(filled(part.column("url"))).any(axis=1)
         names = pa.array([*ordered, None], pa.string()).take(pa.array(rule))
         verdicts = np.array([rules[r] for r in ordered] + ["allow"], object)[rule]
         verdicts[~some & spam] = "block"
@@ -114,7 +116,7 @@ def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: dict[str, str],
 
     url = F.col(url_col).cast("string")
     narrow = df.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    narrow = narrow.withColumn("url", F.concat("host", "path"))
+    narrow = narrow.withColumns({"url": F.concat("host", "path"), "marked": F.concat("host", F.lit("#"), "path")})
     kind = narrow.schema["id"].dataType.simpleString()
     return map_slices(narrow, run, f"id {kind}, host string, path string, rule string, verdict string", "url").withColumnRenamed("id", id_col)
 
