@@ -7,6 +7,7 @@ single text but never on the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,10 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.lineage import reliable
+
 #: Bytes of text that one slice holds at most (a longer single text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+
+__all__ = ["reliable"]
 
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -33,21 +38,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared checkpoint folder.
-
-    The session's ``spark.checkpoint.dir`` is used; only where none is set (tests on one
-    machine) a folder below the warehouse is chosen.  The result reads the checkpointed rows
-    without what the optimizer had derived about them: in loops those constraints double
-    with every round.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    kept = df.checkpoint(eager=True)._jdf
-    session = df.sparkSession
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
+def give_back() -> None:
+    """Return freed memory to the system: reused workers would hold every stage's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -64,6 +60,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 def map_slices(

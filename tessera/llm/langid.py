@@ -33,6 +33,8 @@ CHAIN = 64
 BITS = 16
 PER_LANGUAGE = 300
 RUNS = 3
+#: Bytes of text labelled at a time: marginals take about 30 times as much memory.
+PART_BYTES = 1 << 20
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -258,7 +260,7 @@ def identify(docs: DataFrame, field: Field | None, keep: tuple[str, ...] = ()) -
 
     others = [c for c in keep if c != "text"]
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    return map_slices(narrow, run, "doc_id long, lang_pred string, score double" + kept_schema(narrow, keep))
+    return map_slices(narrow, run, "doc_id long, lang_pred string, score double" + kept_schema(narrow, keep), limit=PART_BYTES)
 
 
 def word_languages(docs: DataFrame, field: Field) -> DataFrame:
@@ -272,7 +274,7 @@ def word_languages(docs: DataFrame, field: Field) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([best[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.string()))], ["doc_id", "words"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(narrow, run, "doc_id long, words array<string>")
+    return map_slices(narrow, run, "doc_id long, words array<string>", limit=PART_BYTES)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,6 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa

@@ -27,6 +27,8 @@ NONE = np.iinfo(np.int32).max
 SPACE = "▁"
 #: Sequences longer than this are merged one by one from a heap: same rule, cost n log n.
 LONG = 8192
+#: Bytes of text counted at a time: the more, the more often a pre-token repeats.
+PART_BYTES = 4 << 20
 
 
 class Merges:
@@ -238,7 +240,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
         return pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(shared.value.count(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(narrow, run, "doc_id long, n_bytes long, n_tokens long")
+    return map_slices(narrow, run, "doc_id long, n_bytes long, n_tokens long", limit=PART_BYTES)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
