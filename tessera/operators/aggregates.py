@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import average_rank
+from tessera.operators.ordering import average_ranks, running
 
 
 def counts_by(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,18 +22,17 @@ def counts_by_each(df: DataFrame, columns: list[str]) -> DataFrame:
 def auroc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties one half.
 
-    Ranks come from counts of distinct scores, so the window runs over distinct scores only.
+    Ranks come from running counts of distinct scores, in as many tasks as there are ranges.
     """
     per = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    below = F.sum("_n").over(w) - F.col("_n")
-    rows = per.withColumn("_r", F.col("_p") * (below + (F.col("_n") + 1) / 2.0))
+    upto = running(per, keys, [F.col(score)], sums={"_upto": F.col("_n")})
+    rows = upto.withColumn("_r", F.col("_p") * (F.col("_upto") - (F.col("_n") - 1) / 2.0))
     p, n = F.sum("_p"), F.sum("_n")
     return rows.groupBy(*keys).agg(F.try_divide(F.sum("_r") - p * (p + 1) / 2.0, p * (n - p)).alias("auroc"), p.alias("positives"), n.alias("n"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumns({"_x": average_rank(keys, x), "_y": average_rank(keys, y)})
+    ranked = average_ranks(average_ranks(df.select(*keys, x, y), keys, x, "_x"), keys, y, "_y")
     return ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.joins import incident
 from tessera.operators.lineage import reliable
+from tessera.operators.ordering import ranked
 
 # Rungs of the causal ladder, weakest first.
 LADDER = ("association", "correlation_in_human", "perturbation_in_vitro", "perturbation_in_animal", "perturbation_in_human")
@@ -157,8 +158,8 @@ def undirected(pairs: DataFrame, a: str, b: str, weight: str, most: int) -> Data
 def triple_ids(edges: DataFrame) -> DataFrame:
     """Edges with dense node and predicate numbers, in order of names."""
     nodes = edges.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
-    ids = nodes.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("id"))
-    preds = edges.select("predicate").distinct().select("predicate", (F.row_number().over(Window.orderBy("predicate")) - 1).alias("p"))
+    ids = ranked(nodes, [F.col("name")]).select("name", (F.col("rank") - 1).alias("id"))
+    preds = edges.select("predicate").distinct().select("predicate", (F.row_number().over(Window.orderBy("predicate")) - 1).alias("p"))  # a fixed set of kinds
     return edges.join(ids.select(F.col("name").alias("subject"), F.col("id").alias("s")), "subject").join(ids.select(F.col("name").alias("object"), F.col("id").alias("o")), "object").join(preds, "predicate")
 
 

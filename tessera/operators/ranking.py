@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import ranked, running
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; Spark limits groups before the shuffle."""
@@ -17,16 +19,19 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 def first_distinct(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Ordered dedup: the first row of each key, and its new rank in the order."""
-    kept = best_per_key(df, [key], [F.col(ordinal)])
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(ordinal)))
+    return ranked(best_per_key(df, [key], [F.col(ordinal)]), [F.col(ordinal)])
 
 
 def adjusted_p(df: DataFrame, p: str, key: str, family: list[str]) -> DataFrame:
-    """Benjamini-Hochberg within each family: column ``fdr``."""
+    """Benjamini-Hochberg within each family: column ``fdr``.
+
+    A family is one analysis' tests and goes through one window; ``ordering.adjusted_p``
+    does the same for families of any size.
+    """
     up = Window.partitionBy(*family).orderBy(p, key)
-    ranked = df.withColumns({"_rank": F.row_number().over(up), "_m": F.count("*").over(Window.partitionBy(*family))})
+    rows = df.withColumns({"_rank": F.row_number().over(up), "_m": F.count("*").over(Window.partitionBy(*family))})
     back = Window.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(back))).drop("_rank", "_m")
+    return rows.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(back))).drop("_rank", "_m")
 
 
 def running_min(df: DataFrame, keys: list[str], order: str, value: str) -> Column:
@@ -34,17 +39,11 @@ def running_min(df: DataFrame, keys: list[str], order: str, value: str) -> Colum
     return F.min(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def quantile_normalised(df: DataFrame, sample: str, key: str, value: str) -> DataFrame:
     """Each sample's n-th smallest value becomes the mean of all samples' n-th smallest."""
-    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(sample).orderBy(value, key)))
-    reference = ranked.groupBy("_nth").agg(F.avg(value).alias("normalised"))
-    return ranked.join(reference, "_nth").drop("_nth")
+    placed = running(df, [sample], [F.col(value), F.col(key)], sums={"_nth": F.lit(1).cast("long")})
+    reference = placed.groupBy("_nth").agg(F.avg(value).alias("normalised"))
+    return placed.join(reference, "_nth").drop("_nth")
 
 
 def retained(df: DataFrame, series: list[str], n: str, share: float) -> DataFrame:

@@ -65,8 +65,8 @@ def j07(spark, d):
     mean = lambda kind, name: e.where(F.col("event_type") == kind).groupBy("t").agg(F.avg("value").alias(name))
     effect = mean("purchase", "v").join(mean("view", "w"), "t").select("t", (F.col("v") - F.col("w")).alias("x"))
     # All trials but one's own: totals less the own value, no join of all with all.
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return effect.select(F.col("t").alias("trial"), (F.count("*").over(total) - 1).alias("n"), ((F.sum("x").over(total) - F.col("x")) / (F.count("*").over(total) - 1)).alias("effect"))
+    total = effect.agg(F.struct(F.count("*").alias("n"), F.sum("x").alias("x")))
+    return effect.withColumn("all", total.scalar()).select(F.col("t").alias("trial"), (F.col("all.n") - 1).alias("n"), ((F.col("all.x") - F.col("x")) / (F.col("all.n") - 1)).alias("effect"))
 
 
 @query("j08_regimen_pairs", """

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.operators import ranking
+from tessera.operators import ordering, ranking
 from tessera.plans.registry import load, query
 
 #: Rows of a label rank lower by this much; labels stand for evidence levels.
@@ -179,6 +179,20 @@ def w10(spark, d):
     return ranking.adjusted_p(rows, "p", "o_orderkey", ["o_orderpriority"])
 
 
+@query("w10_benjamini_hochberg_any_size", """
+WITH p AS (SELECT o_orderkey, (o_orderkey * 7919 % 10007) / 10007.0 AS p FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY p, o_orderkey) AS k, count(*) OVER () AS m FROM p)
+SELECT o_orderkey, p, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r""")
+def w10b(spark, d):
+    return ordering.adjusted_p(load(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 10007 / 10007.0).alias("p")), "p", "o_orderkey", [])
+
+
+@query("w10_running_total", "SELECT l_orderkey, l_linenumber, l_returnflag, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS total, min(l_extendedprice) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS least FROM lineitem")
+def w10c(spark, d):
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rows = load(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return ordering.running(rows, ["l_returnflag"], order, {"total": F.col("l_quantity")}, {"least": F.col("l_extendedprice")}).select("l_orderkey", "l_linenumber", "l_returnflag", "total", "least")
+
+
 @query("w11_quantile_normalise", """
 WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id % 5 ORDER BY value, event_id) AS k, user_id % 5 AS s FROM events), m AS (SELECT k, avg(value) AS v FROM r GROUP BY k) SELECT event_id, s, v AS normalised FROM r JOIN m USING (k)""")
 def w11(spark, d):
