@@ -20,15 +20,15 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     sums, mins = sums or {}, mins or {}
     by = [F.col(k) for k in keys] + order
     rows = df.withColumns({f"_v_{n}": c for n, c in (sums | mins).items()})
-    rows = reliable(rows.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
-    own = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = reliable(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_o_{n}": F.sum(f"_v_{n}").over(own) for n in sums} | {f"_o_{n}": F.min(f"_v_{n}").over(own) for n in mins})
     # One row a partition and key: as many as partitions and keys together.
-    parts = rows.groupBy("_p", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], *[F.min(f"_v_{n}").alias(f"_t_{n}") for n in mins])
-    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select("_p", *keys, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums], *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins])
-    renamed = carry.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_c_{n}" for n in sums | mins])
-    cond = rows["_p"] == renamed["_q"]
+    parts = rows.groupBy("_range", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], *[F.min(f"_v_{n}").alias(f"_t_{n}") for n in mins])
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select("_range", *keys, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums], *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins])
+    renamed = carry.select(F.col("_range").alias("_carry_range"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_c_{n}" for n in sums | mins])
+    cond = rows["_range"] == renamed["_carry_range"]
     for k in keys:
         cond = cond & rows[k].eqNullSafe(renamed[f"_k_{k}"])
     both = rows.join(renamed, cond)
