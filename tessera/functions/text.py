@@ -49,6 +49,10 @@ POPULATIONS = {
     "nri": r"(?i)considered as not having achieved|non-responder imputation",
     "multiple_imputation": r"(?i)imputed by multiple imputation",
 }
+# How registries list weeks, and the forms of a printed cell (with the places of responders, n and percent).
+WEEK_LIST = r"(?i)\bWeeks?\s+((?:\d+(?:\s*,\s*and\s+|\s*,\s*|\s+and\s+)?)+)"
+CELL_FORMS = ((r"^(\d+)\s*/\s*(\d+)\s*\((\d+(?:\.\d+)?)%?\)", 1, 2, 3), (r"^\(n\s*=\s*(\d+)\)\s*(\d+)\s*\((\d+(?:\.\d+)?)%\)", 2, 1, 3))
+CELL_COUNT, HEADER_N = r"^(\d+)\s*\((\d+(?:\.\d+)?)%\)", r"\(n\s*=\s*(\d+)\)"
 
 
 def first_of(rules: dict[str, Column]) -> Column:
@@ -171,7 +175,7 @@ def endpoint(outcome_title: Column, class_title: Column) -> Column:
 
 def weeks_in(text: Column) -> Column:
     """Distinct week numbers that a text lists, sorted."""
-    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\bWeeks?\s+((?:\d+(?:\s*,\s*and\s+|\s*,\s*|\s+and\s+)?)+)"), F.lit(1))
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WEEK_LIST), F.lit(1))
     numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"\d+"), F.lit(0))))
     return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: n.cast("int"))))
 
@@ -207,12 +211,10 @@ def value_as_rate(value: Column, n: Column, param: Column, unit: Column) -> Colu
 
 def printed_cell(cell: Column, header: Column) -> Column:
     """(responders, n, percent) of a printed cell: ``17/33 (51.5)``, ``(n = 38) 14 (36.8%)``, or ``4 (8.2%)`` with n in the header."""
-    forms = [(r"^(\d+)\s*/\s*(\d+)\s*\((\d+(?:\.\d+)?)%?\)", 1, 2, 3), (r"^\(n\s*=\s*(\d+)\)\s*(\d+)\s*\((\d+(?:\.\d+)?)%\)", 2, 1, 3)]
     shape = lambda r, n, p: F.struct(r.cast("int").alias("responders"), n.cast("int").alias("n"), p.cast("double").alias("percent"))
     part = lambda t, p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
-    alone = r"^(\d+)\s*\((\d+(?:\.\d+)?)%\)"
-    out = [F.when(cell.rlike(p), shape(part(cell, p, r), part(cell, p, n), part(cell, p, pct))) for p, r, n, pct in forms]
-    return F.coalesce(*out, F.when(cell.rlike(alone) & header.rlike(r"\(n\s*=\s*\d+\)"), shape(part(cell, alone, 1), part(header, r"\(n\s*=\s*(\d+)\)", 1), part(cell, alone, 2))))
+    out = [F.when(cell.rlike(p), shape(part(cell, p, r), part(cell, p, n), part(cell, p, pct))) for p, r, n, pct in CELL_FORMS]
+    return F.coalesce(*out, F.when(cell.rlike(CELL_COUNT) & header.rlike(HEADER_N), shape(part(cell, CELL_COUNT, 1), part(header, HEADER_N, 1), part(cell, CELL_COUNT, 2))))
 
 
 def gene_list(mapped: Column) -> Column:
