@@ -12,6 +12,11 @@ from tessera.operators.ledger import canonical
 from tessera.schemas import KEYS, TABLES
 
 
+def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The old rows whose key is not new, and the new rows."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
 class Store:
     """Tables as Parquet versions below a folder; a pointer names the current version.
 
@@ -54,7 +59,7 @@ class Store:
         new = new.select(*old.columns)
         held = old.select(*keys, F.lit(True).alias("_held"))
         counts = new.select(*keys).join(held, keys, "left").agg(F.count("*").alias("n"), F.count("_held").alias("u")).first()
-        self.write(table, old.join(new.select(*keys), keys, "left_anti").unionByName(new))
+        self.write(table, merged(old, new, keys))
         return counts["n"] - counts["u"], counts["u"]
 
     def ingest(self, table: str, new: DataFrame, source: str, query: str) -> dict:
