@@ -94,13 +94,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = reliable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = reliable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        ahead = better.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = reliable(better.join(ahead, "label").select("node", "old", F.least("label", "further").alias("label")))
-        if labels.where("label <> old").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        known = labels.select(F.col("node").alias("b"), "label")
+        near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
+        better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("b"))
+        # The label's own label of the last round: a path halves without computing this round twice.
+        now = reliable(better.join(known, "b").select("node", "old", F.least("b", "label").alias("label")))
+        labels = now.select("node", "label")
+        if now.where("label <> old").isEmpty():
+            return labels
 
 
 def linked_records(records: DataFrame, links: DataFrame, priority: Column) -> DataFrame:

@@ -46,16 +46,24 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def at_word_start(text: Column, token: str) -> Column:
+    """Whether a lower-case text has a token at a word start; the pattern runs only where the token's first part occurs at all."""
+    return F.contains(text, F.lit(token.split("-")[0])) & text.rlike(tx.token_pattern(token))
+
+
 def relevance(df: DataFrame, key: str, text: str, tokens: list[str], weight: Column | None = None) -> DataFrame:
-    """Rows (key, tokens, relevance): tokens matched at word starts, weighted by smoothed inverse document frequency among the matches."""
+    """Rows (key, tokens, relevance): tokens matched at word starts, weighted by smoothed inverse document frequency among the matches.
+
+    Two scans and no shuffle of rows: one counts each token's documents, one adds up the weights.
+    """
     lowered = df.select(key, F.lower(text).alias("t"), (weight if weight is not None else F.lit(1.0)).alias("w"))
-    found = F.array_compact(F.array(*[F.when(F.col("t").rlike(tx.token_pattern(t)), F.lit(t)) for t in tokens]))
-    hits = lowered.select(key, "w", found.alias("found")).where(F.size("found") > 0)
-    pairs = hits.select(key, "w", F.explode("found").alias("token"))
-    pool = hits.agg(F.count("*").alias("n"))
-    idf = pairs.groupBy("token").agg(F.count("*").alias("df")).withColumn("n", pool.scalar())
-    idf = idf.select("token", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
-    return pairs.join(F.broadcast(idf), "token").groupBy(key).agg(F.count("*").alias("tokens"), F.sum(F.col("idf") * F.col("w")).alias("relevance"))  # one row a token of the query
+    rows = lowered.select(key, "w", F.array(*[at_word_start(F.col("t"), t) for t in tokens]).alias("found"))
+    hits = rows.where(F.exists("found", lambda x: x))
+    counts = hits.agg(F.struct(F.count("*").alias("n"), F.array(*[F.count_if(F.col("found")[i]) for i in range(len(tokens))]).alias("df")))
+    scored = hits.withColumn("s", counts.scalar())
+    idf = lambda i: F.log((F.col("s.n") + 1.0) / (F.col("s.df")[i] + 1.0)) + 1
+    total = reduce(lambda a, b: a + b, [F.when(F.col("found")[i], idf(i)).otherwise(0.0) for i in range(len(tokens))])
+    return scored.select(key, F.size(F.filter("found", lambda x: x)).cast("long").alias("tokens"), (F.col("w") * total).alias("relevance"))
 
 
 def relevant_trials(trials: DataFrame, intent: str, stopwords: frozenset[str] = frozenset(), limit: int = 15, pool: int = 1000) -> DataFrame:
