@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import stats
 from tessera.operators import aggregates as agg
 from tessera.operators import scoring
 from tessera.plans.registry import load, query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
 from tessera.operators import graph
 from tessera.plans.registry import load, query
 
