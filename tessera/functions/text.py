@@ -325,3 +325,13 @@ def intent_tokens(intent: str, stopwords: frozenset[str]) -> list[str]:
     import re
 
     return list(dict.fromkeys(t for t in re.findall(r"[a-z0-9]+(?:-[a-z0-9]+)*", intent.lower()) if len(t) > 2 and t not in stopwords))
+
+
+# Identifiers that registries cite of one another.
+CITED_IDS = r"^(NCT\d{8}|ISRCTN\d{8}|ACTRN\d{14}|EUCTR\d{14}[A-Z]{0,3}|CTRI\d{12,}|CHICTR[A-Z]*\d{8,}|DRKS\d{8}|JRCT[A-Z]?\d{9,}|UMIN\d{9}|IRCT\d+[A-Z0-9]*|KCT\d{7}|NTR\d{3,5}|20\d{12,16})$"
+
+
+def cited_ids(raw: Column) -> Column:
+    """Comparison keys of the registry identifiers in a field that lists several, sorted and distinct."""
+    keys = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\s*[;,|]\s*|\s+"), compare_key)
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.rlike(CITED_IDS))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import stats
+from tessera.functions import stats, text
 from tessera.operators import discovery, enrichment, graph, ingestion, joins, ranking
 from tessera.plans.registry import load, query
 from tessera.sources import html, sinks
@@ -261,3 +261,36 @@ def b01(spark, d):
 def w02(spark, d):
     rows = load(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
     return ranking.best_per_key(rows, ["l_suppkey", "l_returnflag"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]).drop("l_extendedprice")
+
+
+@query("c11_cited_ids", "SELECT s_suppkey, list_sort(['NCT' || (10000000 + s_suppkey), 'ISRCTN' || (20000000 + s_suppkey)]) AS ids FROM supplier")
+def c11(spark, d):
+    raw = F.concat(F.lit("nct-"), F.col("s_suppkey") + 10000000, F.lit("; protocol 12, ISRCTN "), F.lit("| ISRCTN"), F.col("s_suppkey") + 20000000, F.lit("; NCT"), F.col("s_suppkey") + 10000000)
+    return load(spark, d, "supplier").select("s_suppkey", text.cited_ids(raw).alias("ids"))
+
+
+@query("t11_pending_by_information", "SELECT s_suppkey AS key, s_acctbal AS information FROM supplier WHERE s_suppkey % 4 > 0 ORDER BY s_acctbal DESC, s_suppkey")
+def t11(spark, d):
+    s = load(spark, d, "supplier")
+    return discovery.pending_by_information(s.select(F.col("s_suppkey").alias("key")), s.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("information")), s.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("key")))
+
+
+@query("u02_union_priors", "SELECT s_name AS name, 'drug' AS kind FROM supplier UNION ALL SELECT p_name, 'target' FROM part")
+def u02(spark, d):
+    drugs = load(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("drug").alias("kind"))
+    return drugs.unionByName(load(spark, d, "part").select(F.lit("target").alias("kind"), F.col("p_name").alias("name")))
+
+
+@query("a11_weighted_relevance", r"""
+WITH h AS (SELECT doc_id, t, CASE WHEN regexp_matches(lower(left(text, 60)), '(^|[^a-z0-9])' || t) THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM documents, (VALUES ('the'), ('que')) x(t) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || t)), i AS (SELECT t, ln(((SELECT count(DISTINCT doc_id) FROM h) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM h GROUP BY t) SELECT doc_id, sum(idf * w) AS relevance FROM h JOIN i USING (t) GROUP BY doc_id""")
+def a11(spark, d):
+    from tessera.operators.search import at_word_start
+
+    tokens = ("the", "que")
+    docs = load(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.lower(F.substring("text", 1, 60)).alias("title"))
+    weights = [F.when(at_word_start(F.col("title"), x), 1.0).when(at_word_start(F.col("t"), x), 0.5).otherwise(0.0) for x in tokens]
+    hits = docs.select("doc_id", F.array(*weights).alias("w")).where(F.exists("w", lambda x: x > 0))
+    counts = hits.agg(F.struct(F.count("*").alias("n"), F.array(*[F.count_if(F.col("w")[i] > 0) for i in range(2)]).alias("df"))).scalar()
+    s = hits.withColumn("s", counts)
+    idf = lambda i: F.log((F.col("s.n") + 1.0) / (F.col("s.df")[i] + 1.0)) + 1
+    return s.select("doc_id", (F.col("w")[0] * idf(0) + F.col("w")[1] * idf(1)).alias("relevance"))
