@@ -70,8 +70,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     folder = f"{base}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:  # what the stage read is no longer needed
+            path = spark._jvm.org.apache.hadoop.fs.Path(done)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done = f"{folder}/{name}"
     return docs
