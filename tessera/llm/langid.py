@@ -33,6 +33,8 @@ CHAIN = 64
 BITS = 16
 PER_LANGUAGE = 300
 RUNS = 3
+#: Chains that go through forward-backward at a time in training, so its memory does not grow with the sample.
+BATCH = 1024
 #: Bytes of text labelled at a time: marginals take about 30 times as much memory.
 PART_BYTES = 1 << 20
 
@@ -181,21 +183,28 @@ def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], steps:
     size = 1 << BITS
     params = [np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)]
     squares = [np.full_like(p, 1e-8) for p in params]
-    inside = np.arange(CHAIN) < lengths[:, None]
-    truth = np.zeros((len(ids), k))
-    truth[np.arange(len(ids)), np.concatenate([np.array(t) for t in tagged])] = 1
-    emit = np.zeros((len(chained), CHAIN, k))
-    gold = np.zeros((len(chained), CHAIN, k))
-    gold[inside] = truth
-    gold_moves = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+    tags, ends_of = np.concatenate([np.array(t) for t in tagged]), np.append(0, np.cumsum(lengths))
+    within = np.ones(len(tags) - 1, bool)
+    within[ends_of[1:-1] - 1] = False
+    gold_moves = np.bincount(tags[:-1][within] * k + tags[1:][within], minlength=k * k).reshape(k, k)
+    gold_begin = np.bincount(tags[ends_of[:-1]], minlength=k)
+    gold_words = np.bincount(ids.astype(np.int64) * k + tags, minlength=len(words) * k).reshape(-1, k)
     for _ in range(steps):
         scores = np.stack([np.bincount(owners, weights=params[0][features, j], minlength=len(words)) for j in range(k)], axis=1)
-        emit[inside] = scores[ids]
-        marginal, moves = forward_backward(emit, lengths, params[1], params[2])
-        off = marginal[inside] - truth
-        by_word = np.stack([np.bincount(ids, weights=off[:, j], minlength=len(words)) for j in range(k)], axis=1)
+        by_word, moves, begin = -gold_words.astype(float), -gold_moves.astype(float), -gold_begin.astype(float)
+        for a in range(0, len(chained), BATCH):
+            n = lengths[a : a + BATCH]
+            of = ids[ends_of[a] : ends_of[a + len(n)]]
+            inside = np.arange(CHAIN) < n[:, None]
+            emit = np.zeros((len(n), CHAIN, k))
+            emit[inside] = scores[of]
+            marginal, moved = forward_backward(emit, n, params[1], params[2])
+            moves += moved
+            begin += marginal[:, 0].sum(axis=0)
+            flat = marginal[inside]
+            by_word += np.stack([np.bincount(of, weights=flat[:, j], minlength=len(words)) for j in range(k)], axis=1)
         by_feature = np.stack([np.bincount(features, weights=by_word[owners, j], minlength=size) for j in range(k)], axis=1)
-        for p, s, g in zip(params, squares, (by_feature, moves - gold_moves, (marginal[:, 0] - gold[:, 0]).sum(axis=0))):
+        for p, s, g in zip(params, squares, (by_feature, moves, begin)):
             g = g + penalty * p
             s += g * g
             p -= rate * g / np.sqrt(s) * 2
