@@ -15,15 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators.lineage import reliable
-
 #: Bytes of text that one slice holds at most (a longer single text is a slice of its own).
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 8 << 20
 
-__all__ = ["reliable"]
-
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -16,7 +16,6 @@ own (items once by identifier).
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, kept_schema, map_slices, mixed, powers, raw, reliable
+from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, kept_schema, map_slices, mixed, powers, raw
+from tessera.operators.lineage import reliable
 
 MIN_DOCS = 5
 MIN_TOKENS = 4

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALPHA, GOLDEN, bounded_batches, filled, map_slices, mixed, raw, reliable, sliced
+from tessera.llm.common import ALPHA, GOLDEN, bounded_batches, filled, map_slices, mixed, raw, sliced
+from tessera.operators.lineage import reliable
 
 BITS = 18
 SIZE = 1 << BITS
