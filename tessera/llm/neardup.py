@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, map_slices, mixed, reliable, split_words
+from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, map_slices, mixed, split_words
+from tessera.operators.graph import components
+from tessera.operators.lineage import reliable
 
 BANDS, ROWS = 32, 5
 LEAST = -(1 << 63)
@@ -145,23 +147,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("xs") + F.size("ys") - shared)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, label): label is the smallest node that is reachable over the edges (a, b).
-
-    Labels spread along edges and along themselves, so a path halves in every round.
-    """
-    both = reliable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = reliable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        ahead = better.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = reliable(better.join(ahead, "label").select("node", "old", F.least("label", "further").alias("label")))
-        if labels.where(F.col("label") != F.col("old")).isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-
-
 def similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
