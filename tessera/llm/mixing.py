@@ -39,7 +39,7 @@ from tessera.operators.lineage import reliable
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-LEAF_ROWS = 2048
+LEAF_ROWS = 256
 BLOCKS = 1 << 20
 SHARD_WORDS = 1 << 22
 MOST_SHARDS = 1024
