@@ -7,12 +7,13 @@ or more, its even or its odd remaining places with the other half generalised.
 a leaf that agree on half of their places, as in a log parser's similarity test, so share
 a template whatever the other half holds.
 
-A template recurs if ``min_docs`` different texts have it.  Recurring templates are
+A template recurs if ``min_docs`` different texts have it; that of all tokens of a line of
+``LONG_TOKENS`` tokens or more, a passage, recurs if ``long_docs`` have it.  Recurring templates are
 dropped from every document but the first (smallest identifier) that has them, so that one
 copy stays in the corpus.  Exact copies of a text count once, so copies alone make no
 template recur.
 
-Templates are 64-bit hashes.  Counting is a partial aggregation before the shuffle, and
+Templates are 64-bit hashes, odd for passages and even for others.  Counting is a partial aggregation before the shuffle, and
 what goes back to the documents is only the hits; texts move once, to meet them.
 
 Defined results: null and empty texts have no lines; lines of fewer than four tokens are
@@ -30,6 +31,8 @@ from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, kept_s
 from tessera.operators.lineage import reliable
 
 MIN_DOCS = 5
+LONG_DOCS = 2
+LONG_TOKENS = 50
 MIN_TOKENS = 4
 HALF_TOKENS = 10
 LEADING = 2
@@ -70,7 +73,8 @@ def line_templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     term[place < LEADING] = 0
     even = place % 2 == 0
     halves = [np.add.reduceat(np.where(which, term, np.uint64(0)), first) for which in (even, ~even)]
-    out = np.stack([mixed(leaf + halves[0] * GOLDEN + halves[1]), mixed(leaf + mixed(halves[0] + np.uint64(1))), mixed(leaf + mixed(halves[1] + np.uint64(2)))], axis=1).view(np.int64).copy()
+    out = np.stack([mixed(leaf + halves[0] * GOLDEN + halves[1]), mixed(leaf + mixed(halves[0] + np.uint64(1))), mixed(leaf + mixed(halves[1] + np.uint64(2)))], axis=1).view(np.int64) & ~1
+    out[size >= LONG_TOKENS, 0] |= 1
     out[size < HALF_TOKENS, 1:] = 0
     keep = size >= MIN_TOKENS
     return row[first[keep]], (line[first] - breaks[offsets[:-1]][row[first]] - row[first])[keep], out[keep], size[keep]
@@ -98,11 +102,12 @@ def document_templates(docs: DataFrame) -> DataFrame:
     return map_slices(_keyed(docs).select("dk", "tk", "text"), run, "dk long, tk long, templates array<long>")
 
 
-def recurring_templates(templates: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_templates(templates: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """Rows (template, owner): the recurring ones and the document (dk, tk) that keeps its copy."""
     texts = templates.groupBy("tk").agg(F.min("dk").alias("dk"), F.first("templates").alias("templates"))
     counted = texts.select(F.struct("dk", "tk").alias("doc"), F.explode("templates").alias("template"))
-    return counted.groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where(F.col("n") >= min_docs).select("template", "owner")
+    floor = F.when(F.col("template").bitwiseAND(1) == 1, long_docs).otherwise(min_docs)
+    return counted.groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where(F.col("n") >= floor).select("template", "owner")
 
 
 def _drop_lines(text: str | None, gone: list[int]) -> str:
@@ -111,10 +116,10 @@ def _drop_lines(text: str | None, gone: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i not in out)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = (), long_docs: int = LONG_DOCS) -> DataFrame:
     """Rows (doc_id, n_lines, n_dropped, text, *keep), one for each row of docs; text is without its dropped lines."""
     templates = reliable(document_templates(docs))
-    recurring = recurring_templates(templates, min_docs)
+    recurring = recurring_templates(templates, min_docs, long_docs)
     hits = templates.select("dk", "tk", F.explode("templates").alias("template")).join(recurring, "template").where(F.struct("dk", "tk") != F.col("owner"))
     drops = hits.groupBy("dk", "tk").agg(F.collect_set("template").alias("gone"))
     joined = _keyed(docs, keep).join(drops, ["dk", "tk"], "left").select("doc_id", "text", "gone", *keep)
