@@ -14,10 +14,9 @@ that is independent of them.  Terms at or over the threshold are spans of kind `
 wherever they stand in a context of that kind, and ``sanitised`` generalises base spans
 to their kind and removes such terms.
 
-A term counts only if it stands by at least ``LEAST_VALUES`` different values of the kind
-and makes up at least 1/1000 of the kind's contexts.  By the second rule no kind has more
-than 1000 * 2 * CONTEXT_WORDS terms, however large the corpus: that bound is what lets
-the terms be part of the plan of the second pass, which needs no shuffle.
+A term counts only if it stands by at least ``LEAST_VALUES`` different values of the kind.
+The terms are counted: up to ``PLAN_TERMS`` are part of the plan of the second pass, which
+then needs no shuffle; more are met by a join with the words of the texts.
 
 Defined results: null and empty texts have no spans; overlapping matches of different
 kinds are all reported; terms inside base spans are not; repeated rows each count.
@@ -28,10 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import reliable
+
 CONTEXT_WORDS = 3
 CONTEXT_CHARS = 48
 THRESHOLD = 0.8
 LEAST_VALUES = 5
+PLAN_TERMS = 5000
+SALTS = 16
 
 # Fixed patterns, each equal to the plain pattern of its kind but free of repeated scans:
 # a match can only begin where a run begins or where the last match ended (\G).
@@ -121,7 +124,7 @@ def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_values: i
     kinds = joint.groupBy("kind").agg(F.sum("joint").alias("kind_total"))
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term"))
     totals = words.groupBy("term").agg(F.count("*").alias("total"))
-    common = joint.where(F.col("values") >= least_values).join(kinds, "kind").where(F.col("joint") * 1000 >= F.col("kind_total"))
+    common = joint.where(F.col("values") >= least_values).join(kinds, "kind")
     every = totals.agg(F.sum("total").alias("every"))
     counted = common.join(totals, "term").withColumn("every", every.scalar())
     share = F.col("kind_total") / F.col("every")
@@ -129,16 +132,30 @@ def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_values: i
     return counted.where(F.col("every") > F.col("kind_total")).select("kind", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def with_spans(docs: DataFrame, threshold: float = THRESHOLD, least_values: int = LEAST_VALUES) -> DataFrame:
+def with_spans(docs: DataFrame, threshold: float = THRESHOLD, least_values: int = LEAST_VALUES, plan_terms: int = PLAN_TERMS) -> DataFrame:
     """docs with columns ``base`` and ``terms``: spans (kind, s, e, m) and (kind, s, e)."""
-    told = sorted(f"{r.kind}:{r.term}" for r in telling_terms(docs, threshold, least_values).select("kind", "term").collect())  # bounded, see above
-    out = docs.withColumn("base", F.coalesce(base_spans(F.col("text").cast("string")), F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")))
+    text = F.col("text").cast("string")
+    told = reliable(telling_terms(docs, threshold, least_values).select(F.concat_ws(":", "kind", "term").alias("told")))
+    out = docs.withColumn("base", F.coalesce(base_spans(text), F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    if not told:
+    few = [r.told for r in told.limit(plan_terms + 1).collect()]
+    if not few:
         return out.withColumn("terms", none)
-    chosen = F.filter(context_terms(F.col("text").cast("string"), F.col("base")), lambda t: F.concat(t["kind"], F.lit(":"), t["term"]).isin(told))
+    name = lambda t: F.concat(t["kind"], F.lit(":"), t["term"])
+    if len(few) <= plan_terms:
+        is_told = lambda t: name(t).isin(sorted(few))
+    else:
+        # Texts meet their terms by (kind, term); a frequent one is dealt over the salts.
+        texts = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+        names = texts.select(F.xxhash64("text").alias("_tk"), F.explode(F.array_distinct(F.transform(context_terms(F.col("text"), F.col("spans")), name))).alias("told"))
+        names = names.withColumn("salt", F.pmod("_tk", F.lit(SALTS)))
+        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        hits = names.join(salted, ["told", "salt"]).groupBy("_tk").agg(F.collect_set("told").alias("_told"))
+        out = out.withColumn("_tk", F.xxhash64(text)).join(hits, "_tk", "left").drop("_tk")
+        is_told = lambda t: F.array_contains(F.col("_told"), name(t))
+    chosen = F.filter(context_terms(text, F.col("base")), is_told)
     spans = F.array_sort(F.array_distinct(F.transform(chosen, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e")))))
-    return out.withColumn("terms", F.when(F.size("base") > 0, spans).otherwise(none))
+    return out.withColumn("terms", F.coalesce(F.when(F.size("base") > 0, spans), none)).drop("_told")
 
 
 def _joined(spans: Column, kind: Column | None = None) -> Column:
