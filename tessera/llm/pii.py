@@ -10,11 +10,14 @@ entity kind c by the share of c's information that it gives away,
 
 with p(c | t) the share of t's occurrences that are in a context of c and p(c) the share
 of all words that are.  It is 1 for a term that occurs in such contexts only, 0 for one
-that is independent of them.  Terms at or over the threshold are spans of kind ``term``
-wherever they stand in a context of that kind, and ``sanitised`` generalises base spans
-to their kind and removes such terms.
-
-A term counts only if it stands by at least ``LEAST_VALUES`` different values of the kind.
+that is independent of them.  The same is done for each value of a kind (one person's
+address) in place of the kind, and the larger disclosure counts.  Terms at or over the
+threshold are spans of kind ``term`` wherever they stand, and ``sanitised`` generalises
+base spans to their kind and removes such terms.
+
+A share needs evidence: a term counts by its occurrences in contexts of the kind, or of
+the value, in at least ``LEAST_TEXTS`` different texts.  Below that every word that is rare
+by chance and stands by an address once would tell.
 The terms are counted: up to ``PLAN_TERMS`` are part of the plan of the second pass, which
 then needs no shuffle; more are met by a join with the words of the texts.
 
@@ -24,6 +27,8 @@ kinds are all reported; terms inside base spans are not; repeated rows each coun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from tessera.operators.lineage import reliable
 CONTEXT_WORDS = 3
 CONTEXT_CHARS = 48
 THRESHOLD = 0.8
-LEAST_VALUES = 5
+LEAST_TEXTS = 5
 PLAN_TERMS = 5000
 SALTS = 16
 
@@ -114,57 +119,78 @@ def context_terms(text: Column, spans: Column) -> Column:
     return F.filter(F.flatten(F.transform(spans, around)), free)
 
 
-def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_values: int = LEAST_VALUES) -> DataFrame:
+def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """Rows (kind, term, disclosure) of the terms at or over the threshold, from all of docs (text)."""
     text = F.col("text").cast("string")
     spanned = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    contexts = spanned.select(F.explode(context_terms(F.col("text"), F.col("spans"))).alias("c")).select("c.kind", "c.term", "c.value")
-    by_value = contexts.groupBy("kind", "term", "value").agg(F.count("*").alias("n"))
-    joint = by_value.groupBy("kind", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("values"))
-    kinds = joint.groupBy("kind").agg(F.sum("joint").alias("kind_total"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term"))
-    totals = words.groupBy("term").agg(F.count("*").alias("total"))
-    common = joint.where(F.col("values") >= least_values).join(kinds, "kind")
+    contexts = spanned.select(F.xxhash64("text").alias("tk"), F.explode(context_terms(F.col("text"), F.col("spans"))).alias("c"))
+    contexts = contexts.select("c.kind", "c.term", F.xxhash64("c.value").alias("value"), "tk")
+    by_text = reliable(contexts.groupBy("kind", "term", "value", "tk").agg(F.count("*").alias("n")))
+    joint = F.sum("n").alias("joint")
+    by_kind = by_text.groupBy("kind", "term").agg(joint, F.count_distinct("tk").alias("texts")).where(F.col("texts") >= least_texts)
+    by_value = by_text.groupBy("kind", "value", "term").agg(joint, F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    kinds = by_text.groupBy("kind").agg(F.sum("n").alias("held"))
+    values = by_text.groupBy("kind", "value").agg(F.sum("n").alias("held"))
+    common = by_kind.join(kinds, "kind").select("kind", "term", "joint", "held").unionByName(by_value.join(values, ["kind", "value"]).select("kind", "term", "joint", "held"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("term"))
+    totals = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("total"))
     every = totals.agg(F.sum("total").alias("every"))
     counted = common.join(totals, "term").withColumn("every", every.scalar())
-    share = F.col("kind_total") / F.col("every")
+    share = F.col("held") / F.col("every")
     disclosure = F.log2(F.least(F.col("joint") / F.col("total"), F.lit(1.0)) / share) / -F.log2(share)
-    return counted.where(F.col("every") > F.col("kind_total")).select("kind", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    told = counted.where(F.col("every") > F.col("held")).select("kind", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return told.groupBy("kind", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _spans_of(text: Column, is_told: Callable[[Column], Column]) -> Column:
+    """(s, e) of all words that are told; only those are listed, so the cost is the length of the text."""
+    found, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    parts = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["g"]
+        e = s + F.length(x["m"])
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))
+        return F.struct(e.alias("at"), F.when(is_told(F.lower(x["m"])), more).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.exists(_words(text), is_told), F.aggregate(parts, start, step, lambda acc: acc["out"]))
 
 
-def with_spans(docs: DataFrame, threshold: float = THRESHOLD, least_values: int = LEAST_VALUES, plan_terms: int = PLAN_TERMS) -> DataFrame:
+def with_spans(docs: DataFrame, threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS, plan_terms: int = PLAN_TERMS) -> DataFrame:
     """docs with columns ``base`` and ``terms``: spans (kind, s, e, m) and (kind, s, e)."""
     text = F.col("text").cast("string")
-    told = reliable(telling_terms(docs, threshold, least_values).select(F.concat_ws(":", "kind", "term").alias("told")))
+    told = reliable(telling_terms(docs, threshold, least_texts).select("term").distinct())
     out = docs.withColumn("base", F.coalesce(base_spans(text), F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    few = [r.told for r in told.limit(plan_terms + 1).collect()]
+    few = sorted(r.term for r in told.limit(plan_terms + 1).collect())
     if not few:
         return out.withColumn("terms", none)
-    name = lambda t: F.concat(t["kind"], F.lit(":"), t["term"])
     if len(few) <= plan_terms:
-        is_told = lambda t: name(t).isin(sorted(few))
+        is_told = lambda t: t.isin(few)
     else:
-        # Texts meet their terms by (kind, term); a frequent one is dealt over the salts.
-        texts = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-        names = texts.select(F.xxhash64("text").alias("_tk"), F.explode(F.array_distinct(F.transform(context_terms(F.col("text"), F.col("spans")), name))).alias("told"))
+        # Texts meet their terms by an equi-join; a frequent one is dealt over the salts.
+        names = docs.select(F.xxhash64(text).alias("_tk"), F.explode(F.array_distinct(_words(text))).alias("term"))
         names = names.withColumn("salt", F.pmod("_tk", F.lit(SALTS)))
         salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        hits = names.join(salted, ["told", "salt"]).groupBy("_tk").agg(F.collect_set("told").alias("_told"))
+        hits = names.join(salted, ["term", "salt"]).groupBy("_tk").agg(F.collect_set("term").alias("_told"))
         out = out.withColumn("_tk", F.xxhash64(text)).join(hits, "_tk", "left").drop("_tk")
-        is_told = lambda t: F.array_contains(F.col("_told"), name(t))
-    chosen = F.filter(context_terms(text, F.col("base")), is_told)
-    spans = F.array_sort(F.array_distinct(F.transform(chosen, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e")))))
-    return out.withColumn("terms", F.coalesce(F.when(F.size("base") > 0, spans), none)).drop("_told")
+        is_told = lambda t: F.array_contains(F.col("_told"), t)
+    free = lambda t: ~F.exists("base", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"]))
+    return out.withColumn("terms", F.coalesce(F.filter(_spans_of(text, is_told), free), none)).drop("_told")
 
 
 def _joined(spans: Column, kind: Column | None = None) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", kind if kind is not None else x["kind"], x["s"].cast("string"), x["e"].cast("string")))
 
 
-def sanitised(docs: DataFrame, threshold: float = THRESHOLD, least_values: int = LEAST_VALUES) -> DataFrame:
+def sanitised(docs: DataFrame, threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """docs with ``text`` sanitised: base spans become their kind in brackets, telling terms go."""
-    marked = with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), threshold, least_values)
+    marked = with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), threshold, least_texts)
     parts = F.concat(
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), x["kind"], F.lit("]")).alias("by"))),
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("by"))),
