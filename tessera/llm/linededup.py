@@ -4,8 +4,9 @@ A line descends by its token count and its leading tokens (tokens with a digit a
 variable field wherever they stand) to a leaf.  In its leaf a line belongs to up to three
 templates: all its tokens with variable fields generalised, and, for lines of ten tokens
 or more, its even or its odd remaining places with the other half generalised.  Lines of
-a leaf that agree on half of their places, as in a log parser's similarity test, so share
-a template whatever the other half holds.
+a leaf so share a template only if they agree on all places, all even or all odd ones; a
+field without digits of two words side by side is in both halves and keeps them apart,
+which a log parser's similarity test would not.  Lines under ten tokens generalise digits only.
 
 A template recurs if ``min_docs`` different texts have it; that of all tokens of a line of
 ``LONG_TOKENS`` tokens or more, a passage, recurs if ``long_docs`` have it.  Recurring templates are
