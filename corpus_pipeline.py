@@ -26,6 +26,7 @@ from tessera.llm.langid import fold_of, identify, train
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.mixing import mix, words_taken
 from tessera.llm.neardup import drop_near_duplicates
+from tessera.operators.lineage import remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
@@ -68,14 +69,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if done:  # what the stage read is no longer needed
-            path = spark._jvm.org.apache.hadoop.fs.Path(done)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, done)
         done = f"{folder}/{name}"
     return docs

@@ -7,11 +7,11 @@ depend on order read an explicit ``ordinal``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import incident
-from tessera.operators.lineage import reliable
+from tessera.operators.lineage import reliable, release
 from tessera.operators.ordering import ranked
 
 # Rungs of the causal ladder, weakest first.
@@ -89,19 +89,25 @@ def neighbours(edges: DataFrame, start: DataFrame, hops: int, limit: int) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label) over edges (a, b): label is the smallest node that is reachable.
 
-    Labels spread along edges and along themselves, so a path halves in every round.
+    Labels spread along edges and along themselves, so a path halves in every round.  The
+    rows that change are counted while a round is written; a round's table goes when the
+    next one is there.
     """
     both = reliable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = reliable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
+    changed = 1
+    while changed:
         known = labels.select(F.col("node").alias("b"), "label")
         near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
         better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("b"))
         # The label's own label of the last round: a path halves without computing this round twice.
-        now = reliable(better.join(known, "b").select("node", "old", F.least("b", "label").alias("label")))
-        labels = now.select("node", "label")
-        if now.where("label <> old").isEmpty():
-            return labels
+        now = better.join(known, "b").select("node", "old", F.least("b", "label").alias("label"))
+        seen = Observation()
+        last, labels = labels, reliable(now.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("n")).select("node", "label"))
+        changed = seen.get["n"]
+        release(last)
+    release(both)
+    return labels
 
 
 def linked_records(records: DataFrame, links: DataFrame, priority: Column) -> DataFrame:

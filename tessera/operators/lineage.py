@@ -1,22 +1,52 @@
-"""Cutting the lineage of iterative plans through reliable storage."""
+"""Cutting the lineage of iterative plans through a table in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder below the warehouse serves a driver that is its own only
+    executor (tests); on a cluster that would be no shared place, so it is an error there.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders of the shared folder."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared checkpoint folder.
+    """The rows of df, written to the shared folder and read again.
 
-    The session's ``spark.checkpoint.dir`` is used; only where none is set (tests on one
-    machine) a folder below the warehouse is chosen.  The result reads the checkpointed rows
-    without what the optimizer had derived about them: in loops those constraints double
-    with every round.
+    The result outlives any executor, keeps nothing of the plan before it, knows its size
+    (so that joins can tell what is small) and reads only the columns that are asked for.
+    The table goes with ``release`` or with the session.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    kept = df.checkpoint(eager=True)._jdf
-    session = df.sparkSession
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
+    spark = df.sparkSession
+    name = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._kept_at = name
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``reliable`` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            remove(df.sparkSession, df._kept_at)

@@ -40,9 +40,12 @@ def running_min(df: DataFrame, keys: list[str], order: str, value: str) -> Colum
 
 
 def quantile_normalised(df: DataFrame, sample: str, key: str, value: str) -> DataFrame:
-    """Each sample's n-th smallest value becomes the mean of all samples' n-th smallest."""
+    """Each sample's n-th smallest value becomes the mean of all samples' n-th smallest.
+
+    The mean sums decimals, so it does not depend on the order that partitions give.
+    """
     placed = running(df, [sample], [F.col(value), F.col(key)], sums={"_nth": F.lit(1).cast("long")})
-    reference = placed.groupBy("_nth").agg(F.avg(value).alias("normalised"))
+    reference = placed.groupBy("_nth").agg((F.sum(F.col(value).cast("decimal(38,10)")).cast("double") / F.count(value)).alias("normalised"))
     return placed.join(reference, "_nth").drop("_nth")
 
 

@@ -194,7 +194,7 @@ def w10c(spark, d):
 
 
 @query("w11_quantile_normalise", """
-WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id % 5 ORDER BY value, event_id) AS k, user_id % 5 AS s FROM events), m AS (SELECT k, avg(value) AS v FROM r GROUP BY k) SELECT event_id, s, v AS normalised FROM r JOIN m USING (k)""")
+WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id % 5 ORDER BY value, event_id) AS k, user_id % 5 AS s FROM events), m AS (SELECT k, sum(value::DECIMAL(38,10))::DOUBLE / count(value) AS v FROM r GROUP BY k) SELECT event_id, s, v AS normalised FROM r JOIN m USING (k)""")
 def w11(spark, d):
     rows = load(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("s"), "value")
     return ranking.quantile_normalised(rows, "s", "event_id", "value").select("event_id", "s", "normalised")
