@@ -15,7 +15,7 @@ from tessera.plans import ORACLE_SQL, QUERIES
 def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
-    if isinstance(v, float):
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
         return v
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
@@ -25,11 +25,9 @@ def plain(v):
 
 
 def place(row):
-    """Where a row is sorted: by what is exact first, then by floats to few digits."""
-    floats, rest = [], []
-    for v in row:
-        (floats if isinstance(v, (float, tuple)) else rest).append(repr(v) if not isinstance(v, float) else f"{v:.4g}" if v == v else "nan")
-    return rest, floats
+    """Where a row is sorted: by its words first, then by numbers to few digits."""
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    return [repr(v) for v in row if not number(v) and not isinstance(v, tuple)], ["nan" if v != v else f"{v:.4g}" for v in row if number(v)], [repr(v) for v in row]
 
 
 def same(a, b) -> bool:
