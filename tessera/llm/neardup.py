@@ -9,19 +9,22 @@ need one to three rounds, and the share of equal coordinates concentrates about
 Jaccard similarity.
 
 Documents with equal sets form a class; only classes go on.  Bands of coordinates are
-bucket keys.  Within a bucket nothing is paired with everything: the bucket's leader (the
-class that meets most others) is verified against the members on full shingle sets, and
-verified links are merged to components.  Buckets whose members then lie in one component
-are done.  The others take their next leader, until the pairs still open are no more than
-the classes themselves, and those are then verified one by one.  So every pair of a
-bucket is verified or already connected, whatever the bucket's size.
+bucket keys.  Within a bucket nothing is paired with everything.  A bucket's leader is the
+class that meets most others.  First every class is verified on full shingle sets against
+the most famous leader that it meets, then, in buckets whose members the links so far do
+not connect, against each bucket's own leader.  Buckets whose other members then lie in one
+component are done.  What is left are families of buckets that share members; a family is
+joined exactly, block against block, with a prefix filter that loses no pair.  So every
+pair of a bucket is verified or already connected, whatever the bucket's size.
 
 A pair of similarity 0.8 shares one of 32 bands of 5 coordinates with probability
 1 - 3e-6 or more.
 
 Defined results: null and empty texts have an empty set and no links; equal texts are one
 class; a null identifier never names a component unless all of the component's are null;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; repeated rows each get their row; a very long text is
+a slice of its own and its set is compared whole; ties of fame go to the larger class id;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, map_slices, mixed, split_words
 from tessera.operators.graph import components
-from tessera.operators.lineage import reliable
+from tessera.operators.lineage import reliable, release
 
 BANDS, ROWS = 32, 5
 LEAST = -(1 << 63)
@@ -142,7 +145,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a Jaccard similarity of percent/100 or more."""
     left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("xs"))
     right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("ys"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(left, "a").join(right, "b")  # a leader's set is sent to its members' sets, not with each of them
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.where(100 * shared >= percent * (F.size("xs") + F.size("ys") - shared)).select("a", "b")
 
@@ -151,58 +154,81 @@ def similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with ``comp``, the component that the links so far give to their class."""
+    return rows.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are not all of one component."""
+    apart = rows.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
+    return rows.join(apart.select("key"), "key", "left_semi")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Rows (node, label) for the classes that have links, None if no two classes meet."""
-    spark = docs.sparkSession
     rows = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
     often = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     multi = reliable(rows.join(often, "key"))
     if multi.isEmpty():
+        release(multi)
         return None
     fame = multi.groupBy("cid").agg(F.sum("met").alias("fame"))
-    live = reliable(multi.join(fame, "cid").select("key", "cid", "n_shingles", F.struct("fame", "cid").alias("place"), F.col("cid").alias("comp")))
-    wanted = reliable(classes.join(fame, "cid", "left_semi").select(F.col("rep").alias("wanted_rep")))
-    limit = int("".join(c for c in spark.conf.get("spark.sql.autoBroadcastJoinThreshold") if c.isdigit() or c == "-") or 0)
-    if wanted.count() * 64 <= max(limit, 0):
-        wanted = F.broadcast(wanted)  # its size was just counted
-    sets = reliable(full_sets(docs, wanted, k))
+    live = reliable(multi.join(fame, "cid").select("key", "cid", "n_shingles", F.struct("fame", "cid").alias("place")))
+    sets = reliable(full_sets(docs, classes.join(fame, "cid", "left_semi").select(F.col("rep").alias("wanted_rep")), k))
+    release(multi)
+    # First every class meets one leader, the most famous of its buckets: a set moves once.
     lead = live.groupBy("key").agg(F.max("place").alias("lead"), F.max_by("n_shingles", "place").alias("lead_size"))
-    below = live.join(lead, "key").where(F.col("place") < F.col("lead"))
-    stars = below.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b"), "n_shingles", "lead_size")
-    edges = reliable(verified(stars.where(similar_sizes("n_shingles", "lead_size", percent)).select("a", "b").distinct(), sets, percent))
-    labels = None if edges.isEmpty() else components(edges)
-    now = live.select("key", "cid")
-    if labels is None:
-        now = now.withColumn("comp", F.col("cid"))
-    else:
-        now = now.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
-    now = reliable(now)
-    apart = now.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
-    open_ = reliable(now.join(apart.select("key"), "key", "left_semi"))
+    below = live.join(lead, "key").where((F.col("place") < F.col("lead")) & similar_sizes("n_shingles", "lead_size", percent))
+    tried = reliable(below.groupBy("cid").agg(F.max("lead").alias("lead")).select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")))
+    edges = reliable(verified(tried, sets, percent))
+    labels = components(edges)
+    # Then each bucket that is still open meets its own leader, who is then done with.
+    now = reliable(_labelled(live, labels))
+    lead = now.groupBy("key").agg(F.max("place").alias("lead"), F.max_by(F.struct("n_shingles", "comp"), "place").alias("of"))
+    below = reliable(now.join(lead, "key").where(F.col("place") < F.col("lead")))
+    release(live, now)
+    apart = below.where((F.col("comp") != F.col("of.comp")) & similar_sizes("n_shingles", "of.n_shingles", percent))
+    pairs = apart.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = reliable(verified(pairs, sets, percent))
+    release(labels)
+    labels = components(edges.union(more))
+    # What other members of a bucket may share is joined exactly.
+    open_ = reliable(_open(_labelled(below.select("key", "cid"), labels)))
+    release(below, tried)
     if open_.isEmpty():
+        release(open_, edges, more, sets)
         return labels
     heads = open_.groupBy("key").agg(F.min("cid").alias("b"))
-    families = components(open_.join(heads, "key").where(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b").distinct())
+    families = components(open_.join(heads, "key").where(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b"))
     members = open_.select("cid", "comp").distinct().join(families.withColumnRenamed("node", "cid"), "cid")
     found = reliable(family_links(members, sets, percent))
-    if found.isEmpty():
-        return labels
-    return components(reliable(edges.union(found)))
+    release(open_, families, sets)
+    if not found.isEmpty():
+        release(labels)
+        labels = components(edges.union(more).union(found))
+    release(edges, more, found)
+    return labels
 
 
 BLOCK_ELEMENTS = 1 << 20
+BLOCK_SETS, SET_BLOCKS = 256, 16
 
 
 def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the components of each family: an exact join, block against block.
 
-    members has rows (cid, comp, label), label being the family.
+    members has rows (cid, comp, label), label being the family.  Blocks hold at most about
+    ``BLOCK_ELEMENTS`` elements; a family of many small sets is dealt into up to
+    ``SET_BLOCKS`` more, so that it keeps several tasks busy.
     """
     full = members.join(sets, "cid")
-    sizes = full.groupBy("label").agg((F.sum(F.size("elements").cast("long")) / BLOCK_ELEMENTS).cast("int").alias("more"))
+    more = F.sum(F.size("elements").cast("long")) / BLOCK_ELEMENTS + F.least(F.count("*") / BLOCK_SETS, F.lit(SET_BLOCKS))
+    sizes = members.join(sets, "cid").groupBy("label").agg(more.cast("int").alias("more"))
     spread = full.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("more") + 1).cast("int"))
     meets = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("more"))))
     pairs = meets.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "comp", "elements")
+    pairs = pairs.repartition("label", "i", "j")  # else a family's blocks stay where the family was counted
 
     def join(group: pa.Table) -> pa.Table:
         found = exact_links(group, percent)

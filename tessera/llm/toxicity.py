@@ -96,7 +96,7 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     picked = F.broadcast(picks[0].union(picks[1]))  # at most 2 * per_class identifiers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return reliable(rows.select("text", "y").repartition(4)), counts.get(0, 0), counts.get(1, 0)
+    return reliable(rows.select("text", "y")).repartition(4), counts.get(0, 0), counts.get(1, 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
