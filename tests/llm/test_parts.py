@@ -167,7 +167,7 @@ def test_hypergeometric_by_inversion(spark):
 
 def test_quotas_split_exactly(spark):
     q = [1000, 0, 37, 5]
-    got = mixing.split_quotas(spark.createDataFrame([(q,)], "quota array<long>"), 8).collect()
+    got = mixing.split_quotas(spark.createDataFrame([(0, q)], "g long, quota array<long>"), 8).collect()
     assert len(got) == 8 and [sum(x) for x in zip(*[r.quota for r in got])] == q
     assert {sum(r.quota) for r in got} <= {130, 131}
 
