@@ -1,11 +1,19 @@
 """TIFF media columns: a directory walker and decoder that emits one row per page.
 
 Classic and BigTIFF files of either byte order; strips and tiles; chunky and planar
-samples of 8, 16 or 32 bits; no compression, PackBits, LZW and deflate; the horizontal
-predictor.  ``encode_tiff`` writes files for storage and for the round-trip tests.
-
-Defined results: a null medium gives no page; a damaged one gives a single row whose
-``error`` says why; an empty table gives an empty result.
+samples of 1, 2, 4, 8, 16, 32 or 64 bits, whole or floating; either fill order; no
+compression, PackBits, LZW and deflate; the horizontal and the floating-point predictor.
+``encode_tiff`` writes files for storage and for the round-trip tests.
+
+Pages are decoded one by one: one that cannot be read gives a row whose ``error`` says why,
+and the pages after it are read all the same.  A page that claims more samples than its
+stored bytes can hold is refused before any memory is taken for it.
+
+Defined results: a null medium gives no page; a damaged header or a broken chain of
+directories gives an error row after the pages before it; a null text is stored as an empty
+one; a very long text becomes a file of several pages; repeated rows are stored each, equal
+texts as equal files; an empty table gives an empty result; columns besides the identifier
+and the medium are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +35,15 @@ from tessera.llm.common import map_slices
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 CLEAR, END = 256, 257
+#: No scheme makes more than so many bytes of one (the longest LZW entry takes 12 bits).
+MOST_EXPANSION = 4096
+#: Rows of 64 samples on a page of a stored text.
+PAGE_ROWS = 4096
 
 
 @dataclass
@@ -146,16 +159,21 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _expand(data: bytes, scheme: int) -> bytes:
+def _expand(data: bytes, scheme: int, size: int) -> bytes:
+    """The first ``size`` bytes of what is stored."""
     if scheme == RAW:
-        return data
-    if scheme == PACKBITS:
-        return unpack_bits(data)
-    if scheme == LZW:
-        return lzw_decode(data)
-    if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    raise ValueError(f"compression {scheme} is not known")
+        out = data
+    elif scheme == PACKBITS:
+        out = unpack_bits(data)
+    elif scheme == LZW:
+        out = lzw_decode(data)
+    elif scheme in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, size) if size else b""
+    else:
+        raise ValueError(f"compression {scheme} is not known")
+    if len(out) < size:
+        raise ValueError("the stored bytes end before the page does")
+    return out[:size]
 
 
 def _shrink(data: bytes, scheme: int) -> bytes:
@@ -193,36 +211,90 @@ def directories(blob: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + word, blob, base + n * entry)[0]
 
 
+class Unreadable(Exception):
+    """A page that cannot be decoded: its number and why."""
+
+
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error)
+REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
+
+
+def _decoded(blob: bytes, order: str, f: dict[int, tuple], index: int) -> Page:
+    width, height, samples = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, (1,))[0]
+    bits, forms = set(f.get(BITS, (1,))), set(f.get(SAMPLE_FORMAT, (1,)))
+    if len(bits) > 1 or not bits <= {1, 2, 4, 8, 16, 32, 64} or len(forms) > 1:
+        raise ValueError(f"samples of {sorted(bits)} bits and forms {sorted(forms)}")
+    bits, form = bits.pop(), forms.pop()
+    if form == 3 and bits < 16:
+        raise ValueError(f"floating samples of {bits} bits")
+    dtype = np.dtype(f"{order}{ {2: 'i', 3: 'f'}.get(form, 'u') if bits >= 8 else 'u'}{max(1, bits // 8)}")
+    scheme, predictor = f.get(COMPRESSION, (RAW,))[0], f.get(PREDICTOR, (1,))[0]
+    planes = samples if f.get(PLANAR, (1,))[0] == 2 else 1
+    depth = samples // planes
+    tiled = TILE_OFFSETS in f
+    across, down = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(height, f.get(ROWS_PER_STRIP, (height,))[0]))
+    offsets, sizes = (f[TILE_OFFSETS], f[TILE_SIZES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_SIZES])
+    if not (width and height and samples and across and down):
+        raise ValueError("a page without samples")
+    if len(offsets) != planes * -(-height // down) * -(-width // across) or len(sizes) != len(offsets):
+        raise ValueError("the strips or tiles do not cover the page")
+    line = -(-across * depth * bits // 8)
+    stored = [max(0, min(n, len(blob) - at)) for at, n in zip(offsets, sizes)]
+    if predictor != 1 and predictor != (3 if form == 3 else 2):
+        raise ValueError(f"predictor {predictor} does not fit the samples")
+    if line * max(height, down if tiled else 0) * planes > MOST_EXPANSION * max(1, sum(stored)):
+        raise ValueError("the page claims more than its bytes can hold")
+    pixels = np.zeros((height, width, samples), dtype.newbyteorder("="))
+    part = 0
+    for plane in range(planes):
+        for top in range(0, height, down):
+            for left in range(0, width, across):
+                rows = down if tiled else min(down, height - top)
+                raw_bytes = blob[offsets[part] : offsets[part] + sizes[part]]
+                if f.get(FILL_ORDER, (1,))[0] == 2:
+                    raw_bytes = REVERSED[np.frombuffer(raw_bytes, np.uint8)].tobytes()
+                data = np.frombuffer(_expand(raw_bytes, scheme, rows * line), np.uint8).reshape(rows, line)
+                if predictor == 3:  # bytes of equal weight stand together, each a difference
+                    planed = np.cumsum(data.reshape(rows, -1, depth), axis=1, dtype=np.uint8).reshape(rows, bits // 8, across * depth)
+                    block = np.ascontiguousarray(planed.transpose(0, 2, 1)).view(f">f{bits // 8}").reshape(rows, across, depth)
+                elif bits < 8:
+                    single = np.unpackbits(data, axis=1)[:, : across * depth * bits].reshape(rows, across * depth, bits)
+                    block = (single @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8).reshape(rows, across, depth)
+                else:
+                    block = data.view(dtype).reshape(rows, across, depth)
+                if predictor == 2:
+                    block = np.cumsum(block, axis=1, dtype=pixels.dtype)
+                    block = block & ((1 << bits) - 1) if bits < 8 else block
+                high, wide = min(rows, height - top), min(across, width - left)
+                pixels[top : top + high, left : left + wide, plane * depth : (plane + 1) * depth] = block[:high, :wide]
+                part += 1
+    return Page(index, scheme, predictor, pixels)
+
+
+def each_page(blob: bytes) -> Iterator[Page | Unreadable]:
+    """Every page of a file, or why it cannot be read."""
+    index, chain = 0, directories(blob)
+    while True:
+        try:
+            order, fields = next(chain)
+        except StopIteration:
+            return
+        except DAMAGE as e:
+            yield Unreadable(index, f"{type(e).__name__}: {e}")
+            return
+        try:
+            yield _decoded(blob, order, fields, index)
+        except DAMAGE as e:
+            yield Unreadable(index, f"{type(e).__name__}: {e}")
+        index += 1
+
+
 def pages(blob: bytes) -> Iterator[Page]:
-    """Decode every page of a file."""
-    for index, (order, f) in enumerate(directories(blob)):
-        width, height, samples = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, (1,))[0]
-        bits = set(f.get(BITS, (1,)))
-        if bits not in ({8}, {16}, {32}):
-            raise ValueError(f"samples of {sorted(bits)} bits")
-        dtype = np.dtype(f"{order}u{bits.pop() // 8}")
-        scheme, predictor = f.get(COMPRESSION, (RAW,))[0], f.get(PREDICTOR, (1,))[0]
-        planes = samples if f.get(PLANAR, (1,))[0] == 2 else 1
-        depth = samples // planes
-        tiled = TILE_OFFSETS in f
-        across, down = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(height, f.get(ROWS_PER_STRIP, (height,))[0]))
-        offsets, sizes = (f[TILE_OFFSETS], f[TILE_SIZES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_SIZES])
-        pixels = np.zeros((height, width, samples), dtype.newbyteorder("="))
-        part = 0
-        for plane in range(planes):
-            for top in range(0, height, down):
-                for left in range(0, width, across):
-                    rows = down if tiled else min(down, height - top)
-                    data = _expand(blob[offsets[part] : offsets[part] + sizes[part]], scheme)
-                    block = np.frombuffer(data, dtype, rows * across * depth).reshape(rows, across, depth)
-                    if predictor == 2:
-                        block = np.cumsum(block, axis=1, dtype=pixels.dtype)
-                    elif predictor != 1:
-                        raise ValueError(f"predictor {predictor} is not known")
-                    high, wide = min(rows, height - top), min(across, width - left)
-                    pixels[top : top + high, left : left + wide, plane * depth : (plane + 1) * depth] = block[:high, :wide]
-                    part += 1
-        yield Page(index, scheme, predictor, pixels)
+    """Decode every page of a file; one that cannot be read is an error."""
+    for page in each_page(blob):
+        if isinstance(page, Unreadable):
+            raise page
+        yield page
 
 
 def encode_tiff(
@@ -281,7 +353,7 @@ def encode_tiff(
 
 def page_feature(page: Page) -> str:
     """Shape, coding and integer statistics of a page: equal pixels, equal text."""
-    p = page.pixels
+    p = page.pixels if page.pixels.dtype.kind != "f" else page.pixels.view(f"u{page.pixels.itemsize}")
     height, width, samples = p.shape
     total = int(p.sum(dtype=np.int64))
     steps = int(np.abs(np.diff(p.astype(np.int64), axis=1)).sum()) if width > 1 else 0
@@ -298,12 +370,12 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
         for i, blob in enumerate(part.column("media").to_pylist()):
             if blob is None:
                 continue
-            try:
-                found = [(p.index, p.pixels.shape[1], p.pixels.shape[0], p.pixels.shape[2], p.compression, p.predictor, p.pixels.tobytes(), page_feature(p), None) for p in pages(blob)]
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                found = [(None,) * 8 + (f"{type(e).__name__}: {e}",)]
-            who += [i] * len(found)
-            rows += found
+            for p in each_page(blob):
+                who.append(i)
+                if isinstance(p, Unreadable):
+                    rows.append((p.args[0], *(None,) * 7, p.args[1]))
+                else:
+                    rows.append((p.index, p.pixels.shape[1], p.pixels.shape[0], p.pixels.shape[2], p.compression, p.predictor, p.pixels.tobytes(), page_feature(p), None))
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(who, pa.int64())), *columns], ["id", *names])
 
@@ -313,11 +385,21 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def text_media(text: str | None) -> tuple[int, bytes]:
-    """A text as a lossless grey image, 64 samples a row: its length in bytes and the file."""
+    """A text as a lossless grey image, 64 samples a row: its length in bytes and the file.
+
+    The file has a page for each ``PAGE_ROWS`` rows.  The payload's own checksum names scheme,
+    layout and predictor, so that every way of storing serves a share of the texts and equal
+    texts give equal files: a sixteenth each is LZW, PackBits and plain, the rest deflate; every
+    fourth is in tiles, every other one predicted.
+    """
     data = (text or "").encode("utf-8")
     n = len(data)
     padded = data.ljust(max(64, -(-n // 64) * 64), b"\0")
-    return n, encode_tiff([np.frombuffer(padded, np.uint8).reshape(-1, 64)], DEFLATE, 2, rows_per_strip=4096)
+    way = zlib.crc32(padded)
+    scheme = {0: LZW, 1: PACKBITS, 2: RAW}.get(way % 16, DEFLATE)
+    rows = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+    images = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    return n, encode_tiff(images, scheme, 1 + (way >> 4) % 2, tile=64 * ((way >> 5) % 4 == 0), rows_per_strip=1024)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,12 +32,81 @@ def test_codecs(data, few):
     assert tiff.lzw_decode(tiff.lzw_encode(data)) == data and tiff.unpack_bits(tiff.pack_bits(data)) == data
 
 
+def bits_of(codes):
+    """Codes of (value, width) as bytes, first bit first."""
+    text = "".join(f"{v:0{w}b}" for v, w in codes)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_codecs_on_bytes_made_elsewhere():
+    """Stored forms written by hand from the published descriptions, none by this module's encoders."""
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert tiff.lzw_decode(bits_of([(c, 9) for c in (256, 7, 258, 8, 8, 258, 6, 6, 257)])) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    # Literals only: each but the first adds an entry, and widths grow one entry early.
+    data = bytes(random.Random(2).randrange(256) for _ in range(3000))
+    codes, size = [(256, 9)], 258
+    for i, x in enumerate(data):
+        codes.append((x, 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12))
+        size += i > 0
+    assert tiff.lzw_decode(bits_of([*codes, (257, 12)])) == data
+
+
+def by_hand(width, height, bits, strip, more=(), samples=1):
+    """A little-endian file of one strip, field by field."""
+    import struct
+
+    fields = {256: (4, width), 257: (4, height), 258: (3, bits), 259: (3, 1), 262: (3, 1), 273: (4, 8), 277: (3, samples), 278: (4, height), 279: (4, len(strip))} | dict(more)
+    body = strip + b"\0" * (len(strip) % 2)
+    entries = b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, (kind, value) in sorted(fields.items()))
+    return b"II" + struct.pack("<HI", 42, 8 + len(body)) + body + struct.pack("<H", len(fields)) + entries + b"\0" * 4
+
+
+def test_files_made_by_hand():
+    import zlib
+
+    one = lambda blob: next(tiff.pages(blob)).pixels[:, :, 0].tolist()
+    assert one(by_hand(10, 2, 1, bytes([0b10110011, 0b01000000, 0, 0b11000000]))) == [[1, 0, 1, 1, 0, 0, 1, 1, 0, 1], [0] * 8 + [1, 1]]
+    assert one(by_hand(3, 1, 4, bytes([0x5A, 0xF0]))) == [[5, 10, 15]] and one(by_hand(3, 1, 2, bytes([0b01101100]))) == [[1, 2, 3]]
+    assert one(by_hand(10, 1, 1, bytes([0b11001101, 0b00000010]), {266: (3, 2)})) == [[1, 0, 1, 1, 0, 0, 1, 1, 0, 1]]
+    assert one(by_hand(4, 1, 8, bytes([250, 10, 1, 255]), {317: (3, 2)})) == [[250, 4, 5, 4]]
+    assert one(by_hand(2, 1, 16, bytes([1, 2, 255, 255]), {339: (3, 2)})) == [[513, -1]]
+    values = np.array([1.5, -2.25, 3e9], ">f4")
+    planes = np.frombuffer(values.tobytes(), np.uint8).reshape(3, 4).T.ravel()
+    floats = np.append(planes[:1], np.diff(planes)).astype(np.uint8).tobytes()
+    assert one(by_hand(3, 1, 32, floats, {317: (3, 3), 339: (3, 3)})) == [values.tolist()]
+    assert one(by_hand(3, 1, 32, values.astype("<f4").tobytes(), {339: (3, 3)})) == [values.tolist()]
+    assert one(by_hand(5, 1, 8, zlib.compress(b"abcde"), {259: (3, 8)})) == [list(b"abcde")]
+
+
+def test_claims_beyond_the_bytes_are_refused():
+    for blob in (by_hand(1 << 28, 1 << 24, 8, b"ab"), by_hand(1 << 31, 1, 64, b"ab"), by_hand(9, 9, 8, b"too few"), by_hand(4, 1, 8, b"abcd", {278: (4, 0)}), by_hand(4, 0, 8, b"abcd")):
+        assert all(isinstance(p, tiff.Unreadable) for p in tiff.each_page(blob))
+    with pytest.raises(tiff.Unreadable):
+        list(tiff.pages(b"MM\0*\0\0"))
+
+
 def test_tiff_pages_of_a_table(spark):
-    good = tiff.encode_tiff([np.zeros((2, 3), np.uint8), np.ones((1, 1), np.uint8)], tiff.LZW)
-    loop = bytearray(good)
-    df = spark.createDataFrame([(1, good), (2, b"no tiff"), (3, None), (4, bytes(loop[:20]))], "k long, m binary")
-    got = {(r.k, r.page, r.width, r.error is None) for r in tiff.tiff_pages(df, "k", "m").collect()}
-    assert got == {(1, 0, 3, True), (1, 1, 1, True), (2, None, None, False), (4, None, None, False)}
+    image = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    good = tiff.encode_tiff([image, np.ones((1, 1), np.uint8)], tiff.LZW)
+    half = bytearray(tiff.encode_tiff([image, image + 1, image + 2], tiff.DEFLATE))
+    at = half.index(tiff._shrink((image + 1).tobytes(), tiff.DEFLATE))
+    half[at : at + 4] = b"junk"
+    df = spark.createDataFrame([(1, good), (2, b"no tiff"), (3, None), (4, good[:20]), (5, bytes(half)), (5, bytes(half))], "page long, m binary")
+    got = sorted((r[0], r[1] if r[1] is not None else -1, r.width or 0, r.error is None) for r in tiff.tiff_pages(df.withColumnRenamed("page", "k"), "k", "m").collect())
+    assert got == sorted([(1, 0, 3, True), (1, 1, 1, True), (2, 0, 0, False), (4, 0, 0, False)] + [(5, 0, 3, True), (5, 1, 0, False), (5, 2, 3, True)] * 2)
+
+
+def test_stored_texts_use_every_way():
+    seen = set()
+    for i in range(200):
+        text = f"text {i} é " * (1 + i * (i % 7 == 0) * 40)
+        n, media = tiff.text_media(text)
+        read = list(tiff.pages(media))
+        payload = b"".join(p.pixels.tobytes() for p in read)
+        assert payload[:n] == text.encode() and not payload[n:].strip(b"\0") and len(payload) % 64 == 0
+        seen |= {(p.compression, p.predictor, tiff.TILE_WIDTH in f) for p, (_, f) in zip(read, tiff.directories(media))} | {("pages", len(read))}
+    assert {x[0] for x in seen} == {tiff.RAW, tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, "pages"} and ("pages", 1) in seen and len({x for x in seen if x[0] == tiff.DEFLATE}) == 4
 
 
 @settings(max_examples=100, deadline=None)

@@ -143,6 +143,8 @@ def test_op7(spark, edge_dir, tables):
         r = got[d["doc_id"]]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        feature = [f.split(":") for f in r["feature"].split(";")]
+        assert sum(int(f[4]) for f in feature) == sum(payload) and min(int(f[3].split("-")[0]) for f in feature) == min(payload) and sum(int(f[0].split("x")[1]) for f in feature) * 64 == len(payload)
 
 
 def test_op8(spark, edge_dir, tables):
