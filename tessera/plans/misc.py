@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import passages, stats, text, udfs
+from tessera.functions import labels, passages, stats, text, udfs
 from tessera.operators import evidence, ingestion, ledger, statistics
 from tessera.operators.statistics import pareto_k
 from tessera.plans.registry import load, query
@@ -222,12 +222,12 @@ def c09(spark, d):
     return docs.select("doc_id", F.size(udfs.in_context("text", F.lit(r"queen\w*"), F.lit(150))).cast("long").alias("n"))
 
 
-@query("c20_arm_label", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'placebo' ELSE 'active' END AS role, CASE WHEN l_returnflag <> 'N' THEN l_linenumber::DOUBLE END AS dose_value, CASE l_returnflag WHEN 'R' THEN 'BID' WHEN 'A' THEN 'QD' END AS frequency, CASE l_returnflag WHEN 'R' THEN 'topical' WHEN 'A' THEN 'oral' END AS route FROM lineitem WHERE l_orderkey < 3000")
+@query("c20_arm_label", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'placebo' ELSE 'active' END AS role, CASE WHEN l_returnflag <> 'N' THEN l_linenumber::DOUBLE END AS dose_value, CASE l_returnflag WHEN 'R' THEN 'BID' WHEN 'A' THEN 'QD' END AS frequency, CASE l_returnflag WHEN 'R' THEN 'topical' WHEN 'A' THEN 'oral' END AS route FROM lineitem")
 def c20(spark, d):
     label = F.expr("CASE l_returnflag WHEN 'N' THEN 'Double-Blind Period: Vehicle' WHEN 'R' THEN concat('Agent cream ', l_linenumber, '% BID') ELSE concat('Agent ', l_linenumber, ' mg tablet once daily') END")
     none = F.array().cast("array<string>")
-    a = udfs.parse_arm(label, none, none, none)
-    return load(spark, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", a.alias("a")).select("l_orderkey", "l_linenumber", "a.role", "a.dose_value", "a.frequency", "a.route")
+    a = labels.arm(label, none, none, none)
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a")).select("l_orderkey", "l_linenumber", "a.role", "a.dose_value", "a.frequency", "a.route")
 
 
 @query("c25_normal_text", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import passages, stats, text, udfs
+from tessera.functions import labels, passages, stats, text, udfs
 from tessera.operators import aggregates, evidence, graph, ingestion, joins, ledger, ranking, search, statistics
 from tessera.streaming import events
 
@@ -74,14 +74,22 @@ def test_population_classifier_prefers_the_denominator(spark):
     assert p("a subset of participants") == "subgroup" and p(" ") is None
 
 
-def test_arms():
-    a = udfs.arm("Upa 6 mg Period 1, Then Upa 6 mg Period 2", ["upa"], [], [])
+def test_arms(spark):
+    def arm(label, agents=(), trial_agents=(), trial_routes=()):
+        lists = [F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in (agents, trial_agents, trial_routes)]
+        return one(spark, labels.arm(F.lit(label).cast("string"), *lists))
+
+    a = arm("Upa 6 mg Period 1, Then Upa 6 mg Period 2", ["upa"])
     assert a["role"] == "active" and a["dose_value"] == 6
-    a = udfs.arm("Vehicle to Ruxo 1.5% BID", ["ruxo"], [], ["topical"])
+    a = arm("Vehicle to Ruxo 1.5% BID", ["ruxo"], [], ["topical"])
     assert a["role"] == "sequence" and a["flags"] == ["treatment_changes_within_arm", "route_inferred_from_trial"]
-    a = udfs.arm("Rit 200 mg - 50 mg QD", ["rit"], [], [])
+    a = arm("Rit 200 mg - 50 mg QD", ["rit"])
     assert (a["loading_dose_value"], a["dose_value"], a["frequency"]) == (200, 50, "QD")
-    assert udfs.arm("Placebo", [], ["x"], [])["role"] == "placebo" and udfs.arm(None, [], [], []) is None
+    assert arm("Placebo", [], ["x"])["role"] == "placebo" and arm(None) is None
+    a = arm("Double-Blind Period: Ruxo cream twice daily + NB-UVB", [], ["ruxo"])
+    assert (a["period"], a["agent"], a["route"], a["phototherapy"], a["dose_value"]) == ("Double-Blind Period", "ruxo", "topical", True, None)
+    assert a["flags"] == ["agent_inferred_from_trial"]
+    assert arm("A 5 mg and B 10 mg", ["a", "b"])["flags"] == ["treatment_changes_within_arm", "multiple_agents_in_arm"]
 
 
 def test_numbers():
@@ -186,6 +194,32 @@ def test_e_values():
     assert statistics.power(draws - 0.3, draws, 200, 200, 0.1) == 0.0
 
 
+def test_null_by_grid():
+    """The boundary's maximum against a fine grid, for margins and ratios."""
+    import numpy as np
+
+    for ra, na, rc, nc, margin, ratio in ((30, 50, 10, 50, 0.0, 1.0), (45, 50, 5, 40, 0.1, 1.0), (20, 30, 3, 30, 0.0, 1.5), (9, 10, 1, 10, -0.1, 0.8), (10, 10, 0, 10, 0.05, 1.0)):
+        c = np.linspace(1e-7, 1 - 1e-7, 2_000_001)
+        a = ratio * c + margin
+        c, a = c[(a > 0) & (a < 1)], a[(a > 0) & (a < 1)]
+        grid = (statistics.loglik(ra, na, a) + statistics.loglik(rc, nc, c)).max()
+        assert float(statistics.null_loglik(np.array(float(ra)), float(na), np.array(float(rc)), float(nc), margin, ratio)) == pytest.approx(grid, abs=1e-6)
+    assert float(statistics.null_loglik(np.array(5.0), 50.0, np.array(10.0), 50.0)) == pytest.approx(float(statistics.loglik(5.0, 50.0, 0.1) + statistics.loglik(10.0, 50.0, 0.2)))
+
+
+def test_power_by_simulation():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, c = rng.beta(30, 30, 40), rng.beta(20, 40, 40)
+    pick = rng.integers(0, 40, 4000)
+    ra, rc = rng.binomial(60, a[pick]).astype(float), rng.binomial(50, c[pick]).astype(float)
+    better = a > c
+    terms = statistics.loglik(ra[:, None], 60.0, a[better][None]) + statistics.loglik(rc[:, None], 50.0, c[better][None])
+    log_e = np.log(np.exp(terms - terms.max(axis=1, keepdims=True)).mean(axis=1)) + terms.max(axis=1) - statistics.null_loglik(ra, 60.0, rc, 50.0)
+    assert statistics.power(a, c, 60, 50, 0.1) == pytest.approx((log_e >= -np.log(0.1)).mean(), abs=0.03)
+
+
 def test_special_functions():
     assert statistics.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-7)
     assert statistics.trigamma(statistics.inverse_trigamma(0.37)) == pytest.approx(0.37)
