@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import ranked
+
 
 def canonical(record: dict[str, Any]) -> str:
     return json.dumps(record, sort_keys=True, separators=(",", ":"), default=str)
@@ -29,7 +31,7 @@ def new_tests(tests: DataFrame, candidates: DataFrame, key: str = "unit_key", or
     fresh = candidates.join(tests.select(key), key, "left_anti")
     first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
     last = tests.agg(F.coalesce(F.max("t"), F.lit(0))).scalar()
-    return first.withColumn("_last", last).withColumn("t", F.row_number().over(Window.orderBy(order, key)) + F.col("_last")).drop("_last")
+    return ranked(first, [F.col(order), F.col(key)], "_t").withColumn("t", F.col("_t") + last).drop("_t")
 
 
 def conflicts(rows: DataFrame, unique: list[str]) -> DataFrame:

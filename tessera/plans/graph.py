@@ -45,13 +45,15 @@ def g03b(spark, d):
 
 
 @query("g04_seed_structured", """
-SELECT s_name AS subject, 'treats' AS predicate, 'disease' AS object, CASE WHEN s_suppkey % 2 = 0 THEN 0.88 ELSE 0.82 END::DOUBLE AS confidence FROM supplier UNION ALL SELECT s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'inhibits' ELSE 'targets' END, 'T' || s_nationkey, 0.84 FROM supplier UNION ALL SELECT p_name, 'associated_with', 'disease', least(0.95, 0.45 + p_size / 100.0) FROM part WHERE p_partkey < 100""")
+SELECT s_name AS subject, 'treats' AS predicate, 'disease' AS object, CASE WHEN s_suppkey % 2 = 0 THEN 0.88 ELSE 0.82 END::DOUBLE AS confidence FROM supplier UNION ALL SELECT s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'inhibits' ELSE 'targets' END, 'T' || s_nationkey, 0.84 FROM supplier UNION ALL SELECT p_name, 'associated_with', 'disease', least(0.95, 0.45 + p_size / 100.0) FROM part UNION ALL SELECT 'd' || l_returnflag, 'tested_in', 'ct:' || l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 0.8 ELSE 0.78 END FROM lineitem WHERE l_linestatus = 'F'""")
 def g04(spark, d):
     s = load(spark, d, "supplier")
     mech = F.array(F.struct(F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'Inhibitor' ELSE 'binder' END").alias("action_type"), F.array(F.struct(F.concat(F.lit("T"), "s_nationkey").alias("symbol"))).alias("targets")))
     drugs = s.select(F.lit("drug").alias("kind"), F.col("s_name").alias("name"), F.expr("CASE s_suppkey % 2 WHEN 0 THEN 'PHASE_3' ELSE 'PHASE_2' END").alias("clinical_stage"), F.lit(None).cast("double").alias("score"), mech.alias("mechanisms"), F.lit("ot").alias("source"), F.col("s_suppkey").cast("string").alias("source_id"))
-    targets = load(spark, d, "part").where("p_partkey < 100").select(F.lit("target").alias("kind"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("clinical_stage"), (F.col("p_size") / 100.0).alias("score"), F.lit(None).cast(drugs.schema["mechanisms"].dataType).alias("mechanisms"), F.lit("ot").alias("source"), F.col("p_partkey").cast("string").alias("source_id"))
-    trials = spark.createDataFrame([], "source string, source_id string, has_results boolean, interventions array<struct<type:string,name:string>>")
+    targets = load(spark, d, "part").select(F.lit("target").alias("kind"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("clinical_stage"), (F.col("p_size") / 100.0).alias("score"), F.lit(None).cast(drugs.schema["mechanisms"].dataType).alias("mechanisms"), F.lit("ot").alias("source"), F.col("p_partkey").cast("string").alias("source_id"))
+    given = F.struct(F.expr("CASE l_linestatus WHEN 'F' THEN 'Drug' ELSE 'Device' END").alias("type"), F.concat(F.lit("d"), "l_returnflag").alias("name"))
+    trials = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(given).alias("interventions"))
+    trials = trials.select(F.lit("ct").alias("source"), F.col("l_orderkey").cast("string").alias("source_id"), (F.col("l_orderkey") % 2 == 0).alias("has_results"), "interventions")
     return graph.seed_structured(drugs.unionByName(targets), trials, "disease").select("subject", "predicate", "object", "confidence")
 
 
@@ -86,9 +88,10 @@ def g17(spark, d):
 
 
 @query("g18_components", """
-WITH RECURSIVE l AS (SELECT o_custkey AS a, 100000 + o_orderkey % 4000 AS b FROM orders WHERE o_orderkey % 11 = 0), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS node, min(y) AS label FROM r GROUP BY 1""")
+WITH RECURSIVE l AS (SELECT o_custkey AS a, 10000000 + o_orderkey // 3 AS b FROM orders), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, label) USING KEY (node) AS (
+  SELECT a, least(a, min(b)) FROM e GROUP BY a UNION SELECT e.a, min(r.label) FROM r JOIN e ON e.b = r.node JOIN recurring.r AS k ON k.node = e.a WHERE r.label < k.label GROUP BY e.a) SELECT node, label FROM r""")
 def g18(spark, d):
-    links = load(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 4000 + 100000).alias("b"))
+    links = load(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.expr("10000000 + o_orderkey div 3").alias("b"))
     return graph.components(links)
 
 

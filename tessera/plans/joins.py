@@ -77,9 +77,9 @@ def j08(spark, d):
 
 
 @query("j09_names_in_texts", r"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id < 5) SELECT token, count(*) AS docs FROM w JOIN n USING (token) GROUP BY 1""")
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) SELECT token, count(*) AS docs FROM w JOIN n USING (token) GROUP BY 1""")
 def j09(spark, d):
-    names = load(spark, d, "benchmark").where("item_id < 5").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
+    names = load(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
     return joins.words_in_texts(names, load(spark, d, "documents"), "token", "doc_id", "text").groupBy("token").agg(F.count("*").alias("docs"))
 
 
@@ -121,10 +121,10 @@ def j13(spark, d):
     return m.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber"))).where("n = 1").drop("n")
 
 
-@query("j14_tests_with_hypotheses", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 200")
+@query("j14_tests_with_hypotheses", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
 def j14(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return load(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_name", "o_totalprice").orderBy("o_orderkey").limit(200)
+    return load(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_name", "o_totalprice").orderBy("o_orderkey")
 
 
 @query("j15_publications_union", """

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels, passages, stats, text, udfs
 from tessera.operators import evidence, ingestion, ledger, statistics
+from tessera.operators.ordering import ranked
 from tessera.operators.statistics import pareto_k
 from tessera.plans.registry import load, query
 from tessera.streaming import events
 
 
 @query("x01_flatten_results", """
-SELECT o_orderkey::VARCHAR AS source_id, 'Class ' || l_linenumber AS class_title, l_suppkey::VARCHAR AS group_id, 'Arm ' || l_suppkey AS group_title, l_quantity::INTEGER::VARCHAR AS value, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 10 ELSE 99 END::INTEGER AS n_analyzed FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 2000""")
+SELECT o_orderkey::VARCHAR AS source_id, 'Class ' || l_linenumber AS class_title, l_suppkey::VARCHAR AS group_id, 'Arm ' || l_suppkey AS group_title, l_quantity::INTEGER::VARCHAR AS value, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 10 ELSE 99 END::INTEGER AS n_analyzed FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def x01(spark, d):
-    l = load(spark, d, "lineitem").where("l_orderkey < 2000")
-    known = load(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("l_orderkey"))
+    l = load(spark, d, "lineitem")
+    known = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     arm = F.col("l_suppkey").cast("string")
     denom = lambda n: F.array(F.struct(F.lit("Participants").alias("units"), F.array(F.struct(arm.alias("groupId"), n.cast("string").alias("value"))).alias("counts")))
     own = F.when(F.col("l_linenumber") % 2 == 0, denom(F.col("l_linenumber") * 10))
@@ -47,9 +48,9 @@ def x05(spark, d):
 
 
 @query("x06_title_twins", r"""
-WITH k AS (SELECT doc_id, regexp_replace(lower(left(text, 60)), '[^a-z0-9]', '', 'g') AS tkey FROM documents), held AS (SELECT tkey FROM k WHERE doc_id % 10 = 0), f AS (SELECT * FROM k WHERE doc_id % 10 <> 0 AND tkey NOT IN (SELECT tkey FROM held)) SELECT min(doc_id) AS doc_id FROM f GROUP BY tkey""")
+WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS tkey FROM documents), held AS (SELECT tkey FROM k WHERE doc_id % 10 = 0), f AS (SELECT * FROM k WHERE doc_id % 10 <> 0 AND tkey NOT IN (SELECT tkey FROM held)) SELECT min(doc_id) AS doc_id FROM f GROUP BY tkey""")
 def x06(spark, d):
-    k = load(spark, d, "documents").select("doc_id", text.title_key(F.substring("text", 1, 60)).alias("tkey"))
+    k = load(spark, d, "documents").select("doc_id", text.title_key(F.col("text")).alias("tkey"))
     return ingestion.not_held(k.where("doc_id % 10 <> 0"), {"tkey": k.where("doc_id % 10 = 0")}, "doc_id").select("doc_id")
 
 
@@ -110,17 +111,17 @@ def x21(spark, d):
     return ingestion.lineage_profile(c, markers)
 
 
-@query("x24_ledger_export", "SELECT event_id, event_type, value FROM events ORDER BY 1 LIMIT 500")
+@query("x24_ledger_export", "SELECT event_id, event_type, value FROM events")
 def x24(spark, d):
-    return load(spark, d, "events").select("event_id", "event_type", "value").orderBy("event_id").limit(500)
+    return load(spark, d, "events").select("event_id", "event_type", "value").orderBy("event_id")
 
 
 @query("x25_ledger_next", """
-WITH t AS (SELECT o_custkey AS unit_key, row_number() OVER (ORDER BY o_custkey) AS t FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey < 500)), c AS (SELECT o_custkey AS unit_key, min(o_orderkey) AS proposed_at FROM orders WHERE o_orderkey BETWEEN 500 AND 900 GROUP BY 1) SELECT unit_key, proposed_at, (SELECT max(t) FROM t) + row_number() OVER (ORDER BY proposed_at, unit_key) AS t FROM c WHERE unit_key NOT IN (SELECT unit_key FROM t)""")
+WITH t AS (SELECT o_custkey AS unit_key, row_number() OVER (ORDER BY o_custkey) AS t FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P')), c AS (SELECT o_custkey AS unit_key, min(o_orderkey) AS proposed_at FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT unit_key, proposed_at, (SELECT max(t) FROM t) + row_number() OVER (ORDER BY proposed_at, unit_key) AS t FROM c WHERE unit_key NOT IN (SELECT unit_key FROM t)""")
 def x25(spark, d):
-    o = load(spark, d, "orders").select(F.col("o_custkey").alias("unit_key"), F.col("o_orderkey").alias("proposed_at"))
-    tests = o.where("proposed_at < 500").select("unit_key").distinct().withColumn("t", F.row_number().over(Window.orderBy("unit_key")))
-    return ledger.new_tests(tests, o.where("proposed_at BETWEEN 500 AND 900")).select("unit_key", "proposed_at", "t")
+    o = load(spark, d, "orders").select(F.col("o_custkey").alias("unit_key"), F.col("o_orderkey").alias("proposed_at"), (F.col("o_orderstatus") == "P").alias("spent"))
+    tests = ranked(o.where("spent").select("unit_key").distinct(), [F.col("unit_key")], "t")
+    return ledger.new_tests(tests, o.where("NOT spent").select("unit_key", "proposed_at")).select("unit_key", "proposed_at", "t")
 
 
 @query("x25_ledger_resolve", "SELECT o_orderkey AS sha256, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 4 = 0 THEN 'resolved' ELSE 'pending' END AS status, CASE WHEN o_orderstatus = 'F' THEN 'old' WHEN o_orderkey % 4 = 0 THEN 'new' END AS resolution FROM orders")
@@ -137,10 +138,10 @@ def x26(spark, d):
 
 
 @query("w17_online_alphas", """
-WITH RECURSIVE e AS (SELECT event_id AS o, value / 20 AS e, row_number() OVER (ORDER BY event_id) AS t FROM events WHERE event_id < 300), r AS (SELECT 0::BIGINT AS t, 0 AS found, NULL::BIGINT AS o, NULL::DOUBLE AS alpha_t, FALSE AS discovery
+WITH RECURSIVE e AS (SELECT event_id AS o, value / 20 AS e, row_number() OVER (ORDER BY event_id) AS t FROM events), r AS (SELECT 0::BIGINT AS t, 0 AS found, NULL::BIGINT AS o, NULL::DOUBLE AS alpha_t, FALSE AS discovery
  UNION ALL SELECT e.t, r.found + CASE WHEN e.e >= -ln(0.1 * 6 / (pi() * pi() * e.t * e.t) * (r.found + 1)) THEN 1 ELSE 0 END, e.o, 0.1 * 6 / (pi() * pi() * e.t * e.t) * (r.found + 1), e.e >= -ln(0.1 * 6 / (pi() * pi() * e.t * e.t) * (r.found + 1)) FROM r JOIN e ON e.t = r.t + 1) SELECT o AS event_id, t::INTEGER AS t, alpha_t, discovery FROM r WHERE t > 0""")
 def w17(spark, d):
-    e = load(spark, d, "events").where("event_id < 300").select("event_id", (F.col("value") / 20).alias("e"))
+    e = load(spark, d, "events").select("event_id", (F.col("value") / 20).alias("e"))
     return statistics.online_alphas(e, "event_id", "e", 0.1)
 
 

@@ -42,9 +42,9 @@ def k01b(spark, d):
     return sinks.stale_embeddings(e, e.where("document_id % 4 = 0")).select(F.col("document_id").alias("vec_id"))
 
 
-@query("k05_graph_snapshot", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300")
+@query("k05_graph_snapshot", "SELECT o_orderkey, o_totalprice FROM orders")
 def k05(spark, d):
-    return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(300)
+    return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
 @query("k08_triples", "SELECT n_name AS subject, 'in' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -73,9 +73,9 @@ def j19(spark, d):
     return enrichment.paired_extractions(side("l_linenumber <= 2"), side("l_linenumber = 3")).select("source_id", "a", "b")
 
 
-@query("j21_group_agents", "SELECT l_orderkey, l_linenumber, [min(l_returnflag)] AS agents FROM lineitem WHERE l_orderkey < 1000 GROUP BY 1, 2")
+@query("j21_group_agents", "SELECT l_orderkey, l_linenumber, [min(l_returnflag)] AS agents FROM lineitem GROUP BY 1, 2")
 def j21(spark, d):
-    l = load(spark, d, "lineitem").where("l_orderkey < 1000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    l = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
     sid = F.col("l_orderkey").cast("string").alias("source_id")
     groups = l.select(sid, "l_orderkey", "l_linenumber", F.concat(F.lit("Arm #"), "l_linenumber").alias("title"))
     arms = l.select(sid, F.concat(F.lit("arm "), "l_linenumber").alias("label"), F.array(F.col("l_returnflag")).alias("interventions"))
@@ -112,9 +112,9 @@ def g10(spark, d):
 
 
 @query("g11_posted_edges", """
-WITH u AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_quantity)::INTEGER AS v FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2), c AS (SELECT l_orderkey, arg_min(v, l_linenumber) AS cv FROM u WHERE f = 'N' GROUP BY 1) SELECT l_orderkey, l_linenumber, v AS value, cv AS control_value FROM u LEFT JOIN c USING (l_orderkey) WHERE f = 'R'""")
+WITH u AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_quantity)::INTEGER AS v FROM lineitem GROUP BY 1, 2), c AS (SELECT l_orderkey, arg_min(v, l_linenumber) AS cv FROM u WHERE f = 'N' GROUP BY 1) SELECT l_orderkey, l_linenumber, v AS value, cv AS control_value FROM u LEFT JOIN c USING (l_orderkey) WHERE f = 'R'""")
 def g11(spark, d):
-    l = load(spark, d, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("int").alias("v"))
+    l = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("int").alias("v"))
     m = l.select(F.col("l_orderkey").alias("source_id"), F.lit(0).alias("measure_no"), F.lit("all").alias("class_title"), F.col("l_linenumber").alias("group_id"), F.lit("o").alias("title"), F.col("v").alias("value"))
     g = l.select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("group_id"), F.expr("CASE f WHEN 'N' THEN 'placebo' WHEN 'R' THEN 'active' ELSE 'other' END").alias("role"), F.col("l_linenumber").alias("agent"))
     return enrichment.posted_edges(m, g).select(F.col("source_id").alias("l_orderkey"), F.col("subject").alias("l_linenumber"), "value", "control_value")
@@ -135,12 +135,11 @@ def g14(spark, d):
 
 
 @query("g21_pair_synergy", """
-WITH t AS (SELECT l_suppkey, list_sort(list(DISTINCT l_partkey % 25)) AS t, avg(l_discount) AS v FROM lineitem WHERE l_suppkey <= 15 GROUP BY 1) SELECT a.l_suppkey AS a, b.l_suppkey AS b, a.v + b.v - 0.1 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS synergy FROM t a JOIN t b ON a.l_suppkey < b.l_suppkey AND b.l_suppkey - a.l_suppkey <= 3""")
+WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t FROM lineitem), n AS (SELECT s, count(*) AS n FROM p GROUP BY 1), v AS (SELECT l_suppkey AS s, avg(l_discount) AS v FROM lineitem GROUP BY 1), c AS (SELECT a.s AS a, b.s AS b, count(*) AS c FROM p a JOIN p b ON a.t = b.t AND a.s < b.s GROUP BY 1, 2)
+SELECT a, b, va.v + vb.v - 0.1 * c / (na.n + nb.n - c) AS synergy FROM c JOIN n na ON na.s = a JOIN n nb ON nb.s = b JOIN v va ON va.s = a JOIN v vb ON vb.s = b""")
 def g21(spark, d):
-    t = load(spark, d, "lineitem").where("l_suppkey <= 15").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 25).alias("t"), F.avg("l_discount").alias("v"))
-    a = t.select(F.col("l_suppkey").alias("a"), F.col("t").alias("ta"), F.col("v").alias("va"), F.explode(F.sequence(F.col("l_suppkey") + 1, F.col("l_suppkey") + 3)).alias("b"))
-    b = t.select(F.col("l_suppkey").alias("b"), F.col("t").alias("tb"), F.col("v").alias("vb"))
-    return a.join(b, "b").select("a", "b", (F.col("va") + F.col("vb") - 0.1 * F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("synergy"))
+    l = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("drug"), F.col("l_partkey").alias("target"), F.col("l_discount").alias("score"))
+    return enrichment.pair_synergy(l.select("drug", "target"), l.groupBy("drug").agg(F.avg("score").alias("score"))).select("a", "b", "synergy")
 
 
 @query("t10_link_topk", "SELECT vec_id, list_sum(list_transform(list_zip(e.embedding, h.embedding, r.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE * x[3]::DOUBLE)) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) h, (SELECT embedding FROM embeddings WHERE vec_id = 1) r WHERE label % 2 = 0 AND vec_id > 1 ORDER BY score DESC, vec_id LIMIT 10")
@@ -198,7 +197,7 @@ def m19(spark, d):
 
 @query("a39_model_information")
 def a39(spark, d):
-    rows = load(spark, d, "lineitem").where("l_suppkey <= 10").groupBy("l_suppkey", F.col("l_returnflag").alias("model")).agg(F.avg(F.col("l_quantity") / 60).alias("p"), F.lit(30).alias("n"))
+    rows = load(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("model")).agg(F.avg(F.col("l_quantity") / 60).alias("p"), F.lit(30).alias("n"))
     return discovery.mutual_information(rows, ["l_suppkey"], 100)
 
 

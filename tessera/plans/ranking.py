@@ -97,10 +97,10 @@ def t08(spark, d):
 
 
 @query("t09_group_order", """
-SELECT l_orderkey, l_linenumber, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem ORDER BY best DESC, l_orderkey, l_quantity DESC, l_linenumber LIMIT 100""")
+SELECT l_orderkey, l_linenumber, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem""")
 def t09(spark, d):
     best = F.max("l_quantity").over(Window.partitionBy("l_orderkey"))
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", best.alias("best")).orderBy(F.desc("best"), "l_orderkey", F.desc("l_quantity"), "l_linenumber").limit(100)
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", best.alias("best")).orderBy(F.desc("best"), "l_orderkey", F.desc("l_quantity"), "l_linenumber")
 
 
 @query("w01_best_row_per_cell", """

@@ -63,9 +63,9 @@ def c12(spark, d):
     return load(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
-@query("c13_title_key", "SELECT regexp_replace(lower(left(text, 60)), '[^a-z0-9]', '', 'g') AS key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+@query("c13_title_key", "SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def c13(spark, d):
-    return load(spark, d, "documents").groupBy(text.title_key(F.substring("text", 1, 60)).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return load(spark, d, "documents").groupBy(text.title_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("c14_paper_key", """
@@ -157,10 +157,10 @@ def c27(spark, d):
 
 
 @query("c28_stem_subset", r"""
-WITH s AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(left(text, 400)), '[a-z0-9]+'), lambda w: CASE WHEN len(w) > 4 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|is|us)$') THEN left(w, len(w) - 1) ELSE w END)) AS stems FROM documents)
+WITH s AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: CASE WHEN len(w) > 4 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|is|us)$') THEN left(w, len(w) - 1) ELSE w END)) AS stems FROM documents)
 SELECT doc_id, len(stems) AS n_stems, list_has_all(stems, ['the', 'and']) AS has_both FROM s""")
 def c28(spark, d):
-    stems = load(spark, d, "documents").select("doc_id", text.stem_set(F.regexp_replace(F.substring("text", 1, 400), "'", " ")).alias("stems"))
+    stems = load(spark, d, "documents").select("doc_id", text.stem_set(F.regexp_replace("text", "'", " ")).alias("stems"))
     return stems.select("doc_id", F.size("stems").alias("n_stems"), text.subset_of(text.stem_set(F.lit("And the")), F.col("stems")).alias("has_both"))
 
 
@@ -181,10 +181,10 @@ def c32(spark, d):
     return load(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query("c33_title_and_abstract", r"SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(left(text, 40)), ''), CASE WHEN doc_id % 2 = 0 THEN nullif(trim(substr(text, 41, 80)), '') END) AS body FROM documents")
+@query("c33_title_and_abstract", r"SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(source), ''), CASE WHEN doc_id % 2 = 0 THEN nullif(trim(text), '') END) AS body FROM documents")
 def c33(spark, d):
-    abstract = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 41, 80))
-    return load(spark, d, "documents").select("doc_id", text.title_and_abstract(F.substring("text", 1, 40), abstract).alias("body"))
+    abstract = F.when(F.col("doc_id") % 2 == 0, F.col("text"))
+    return load(spark, d, "documents").select("doc_id", text.title_and_abstract(F.col("source"), abstract).alias("body"))
 
 
 @query("c34_fingerprint", "SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -284,7 +284,7 @@ def c45(spark, d):
     return load(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.min(family).alias("family"))
 
 
-@query("c46_label_prefix", "SELECT doc_id, trim(left(text, 50)) AS value FROM documents")
+@query("c46_label_prefix", "SELECT doc_id, trim(text) AS value FROM documents")
 def c46(spark, d):
-    raw = F.concat(F.expr("CASE doc_id % 3 WHEN 0 THEN 'Inclusion criteria: ' WHEN 1 THEN 'Condition 2: CONDITION: ' ELSE '' END"), F.substring("text", 1, 50))
+    raw = F.concat(F.expr("CASE doc_id % 3 WHEN 0 THEN 'Inclusion criteria: ' WHEN 1 THEN 'Condition 2: CONDITION: ' ELSE '' END"), F.col("text"))
     return load(spark, d, "documents").select("doc_id", text.strip_label(raw).alias("value"))
