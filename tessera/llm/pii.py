@@ -22,7 +22,10 @@ The terms are counted: up to ``PLAN_TERMS`` are part of the plan of the second p
 then needs no shuffle; more are met by a join with the words of the texts.
 
 Defined results: null and empty texts have no spans; overlapping matches of different
-kinds are all reported; terms inside base spans are not; repeated rows each count.
+kinds are all reported; terms inside base spans are not; of equal disclosures the kinds are
+all listed; repeated rows each count as occurrences, equal texts as one text of evidence;
+very long texts are read whole; without any text or span no term tells; an empty table gives
+an empty result; columns that are passed through may have any name but base and terms.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import reliable
+from tessera.operators.lineage import release, reliable
 
 CONTEXT_WORDS = 3
 CONTEXT_CHARS = 48
@@ -113,10 +116,13 @@ def context_terms(text: Column, spans: Column) -> Column:
         right = F.filter(matches(after, TERM), lambda t: (t["e"] < CONTEXT_CHARS) | (F.length(after) < CONTEXT_CHARS))
         near = F.when(F.size(left) > CONTEXT_WORDS, F.slice(left, -CONTEXT_WORDS, CONTEXT_WORDS)).otherwise(left)
         named = lambda at: lambda t: F.struct(x["kind"].alias("kind"), x["m"].alias("value"), F.lower(t["m"]).alias("term"), (t["s"] + at).alias("s"), (t["e"] + at).alias("e"))
-        return F.concat(F.transform(near, named(low)), F.transform(F.slice(right, 1, CONTEXT_WORDS), named(x["e"])))
+        found = F.concat(F.transform(near, named(low)), F.transform(F.slice(right, 1, CONTEXT_WORDS), named(x["e"])))
+        # Only spans that reach into the context can hold its words; they are found once a span.
+        beside = F.filter(spans, lambda y: (y["s"] < x["e"] + CONTEXT_CHARS) & (y["e"] > low))
+        free = lambda ys: F.filter(found, lambda t: ~F.exists(ys, lambda y: (y["s"] < t["e"]) & (t["s"] < y["e"])))
+        return F.flatten(F.transform(F.array(beside), free))
 
-    free = lambda t: ~F.exists(spans, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"]))
-    return F.filter(F.flatten(F.transform(spans, around)), free)
+    return F.flatten(F.transform(spans, around))
 
 
 def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
@@ -132,10 +138,17 @@ def telling_terms(docs: DataFrame, threshold: float = THRESHOLD, least_texts: in
     kinds = by_text.groupBy("kind").agg(F.sum("n").alias("held"))
     values = by_text.groupBy("kind", "value").agg(F.sum("n").alias("held"))
     common = by_kind.join(kinds, "kind").select("kind", "term", "joint", "held").unionByName(by_value.join(values, ["kind", "value"]).select("kind", "term", "joint", "held"))
+    common = reliable(common)
+    release(by_text)
+    # One scan counts the words of all texts; those that may tell are few among them.
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("term"))
     totals = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("total"))
-    every = totals.agg(F.sum("total").alias("every"))
-    counted = common.join(totals, "term").withColumn("every", every.scalar())
+    kept = common.select(F.col("term").alias("wanted")).distinct()
+    some = totals.join(kept, F.col("term") == F.col("wanted"), "left").withColumn("at", F.when(F.col("wanted").isNotNull(), F.col("term")))
+    # The others add up in one row, so that the sum of all words comes with them.
+    some = reliable(some.groupBy("at").agg(F.sum("total").alias("total")))
+    every = some.agg(F.sum("total").alias("every"))
+    counted = common.join(some.select(F.col("at").alias("term"), "total"), "term").withColumn("every", every.scalar())
     share = F.col("held") / F.col("every")
     disclosure = F.log2(F.least(F.col("joint") / F.col("total"), F.lit(1.0)) / share) / -F.log2(share)
     told = counted.where(F.col("every") > F.col("held")).select("kind", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
