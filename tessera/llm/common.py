@@ -8,11 +8,13 @@ single text but never on the table.
 from __future__ import annotations
 
 import ctypes
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one slice holds at most (a longer single text is a slice of its own).
@@ -34,6 +36,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+class Shared:
+    """A value of a proven size that every task reads: broadcast with its code, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"_held": self._held}
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self._value = pickle.loads(self._held.value)
+        return self._value
+
+    def destroy(self) -> None:
+        self._held.destroy()
+
+
 def give_back() -> None:
     """Return freed memory to the system: reused workers would hold every stage's peak."""
     pa.default_memory_pool().release_unused()

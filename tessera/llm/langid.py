@@ -8,13 +8,21 @@ word's language marginals; a document's language is the one with the largest sum
 its score is that language's share.  ``word_languages`` returns the words' own labels,
 for code-switched text.
 
-Whole texts are labelled, in chains of ``CHAIN`` words; all chains of a slice run through
-forward-backward together.  Training uses a bounded sample: about ``PER_LANGUAGE``
-documents of each language, by a hash of the identifier, and up to ``RUNS`` runs of words
-from each.
+Whole texts are labelled, each as one chain however long.  Forward-backward works on blocks
+of ``BLOCK`` words: the product of a block's moves is a small matrix, blocks pass their messages
+on as a chain of their own, and then all words of all blocks are finished together, so the
+marginals are those of the undivided chain.
+
+Training uses a bounded sample of labelled runs: every document's whole text is cut into runs
+of ``RUN`` words, and of each language's runs the ``RUNS_PER_LANGUAGE`` with the smallest hashes are
+taken, wherever in a text they stand.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where
-nothing could be learned; repeated rows are labelled each.
+nothing could be learned; a text whose letters make no word of the field (none in any
+alphabet it saw) still gets the likeliest language; of equal sums the language that comes
+first by name; repeated rows are labelled each; very long texts are labelled whole; an empty
+table gives an empty result; columns to pass on may have any name but doc_id, lang_pred and
+score.
 """
 
 from __future__ import annotations
@@ -24,16 +32,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALPHA, GOLDEN, filled, hash_words, kept_schema, map_slices, mixed, split_words, word_array
+from tessera.llm.common import ALPHA, GOLDEN, Shared, bounded_batches, filled, hash_words, kept_schema, map_slices, mixed, sliced, split_words, word_array
 
-CHAIN = 64
+RUN = 64
+BLOCK = 64
 BITS = 16
-PER_LANGUAGE = 300
-RUNS = 3
-#: Chains that go through forward-backward at a time in training, so its memory does not grow with the sample.
+RUNS_PER_LANGUAGE = 900
+#: Runs that go through forward-backward at a time in training, so its memory does not grow with the sample.
 BATCH = 1024
 #: Bytes of text labelled at a time: marginals take about 30 times as much memory.
 PART_BYTES = 1 << 20
@@ -79,48 +87,72 @@ def word_features(letters: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray)
     return np.concatenate(features), np.concatenate(owners)
 
 
-def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut each row's words into chains: first word and length of each chain."""
-    starts = np.append(0, np.cumsum(counts))[:-1]
-    each = -(-counts // CHAIN)
-    row = np.repeat(np.arange(len(counts)), each)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-    first = starts[row] + nth * CHAIN
-    return first, np.minimum(CHAIN, counts[row] - nth * CHAIN)
+def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    return x / x.sum(axis=axes, keepdims=True)
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word marginals (chains, places, languages) and expected moves summed over all chains.
+def forward_backward(emit: np.ndarray, counts: np.ndarray, move: np.ndarray, begin: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals (words, languages) and expected moves summed over all chains.
 
-    ``emit`` has log scores; places beyond a chain's length are left at 0.
+    ``emit`` has the log scores of all chains' words, one after the other; ``counts`` their lengths.
     """
-    n, t, k = emit.shape
-    order = np.argsort(-lengths, kind="stable")
-    lengths, emit = lengths[order], emit[order]
-    local = np.exp(emit - emit.max(axis=2, keepdims=True))
-    step, ahead = np.exp(move), np.zeros((n, t, k))
-    live = np.searchsorted(-lengths, -np.arange(1, t + 1), side="right")  # chains that reach each place
-    a = local[:, 0] * np.exp(begin)
-    ahead[:, 0] = a / a.sum(axis=1, keepdims=True)
-    for i in range(1, t):
-        m = live[i]
-        a = (ahead[:m, i - 1] @ step) * local[:m, i]
-        ahead[:m, i] = a / a.sum(axis=1, keepdims=True)
-    marginal, moves = np.zeros((n, t, k)), np.zeros((k, k))
-    back = np.ones((n, k))
-    for i in range(t - 1, -1, -1):
-        m = live[i]
-        if i + 1 < t and (q := live[i + 1]):
-            right = local[:q, i + 1] * back[:q]
-            flow = ahead[:q, i] @ step
-            norm = (flow * right).sum(axis=1, keepdims=True)
-            moves += step * (ahead[:q, i].T @ (right / norm))
-            b = right @ step.T
-            back[:q] = b / b.sum(axis=1, keepdims=True)
-        p = ahead[:m, i] * back[:m]
-        marginal[:m, i] = p / p.sum(axis=1, keepdims=True)
-    out = np.empty_like(marginal)
-    out[order] = marginal
+    n, k = emit.shape
+    if not n:
+        return np.zeros((0, k)), np.zeros((k, k))
+    step, first_word = np.exp(move), np.exp(begin)
+    local = np.exp(emit - emit.max(axis=1, keepdims=True))
+    counts = counts[counts > 0]
+    heads = np.append(0, np.cumsum(counts))[:-1]
+    # Blocks in order of their length, so that those that reach a place come first.
+    many = -(-counts // block)
+    of = np.repeat(np.arange(len(counts)), many)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    start = heads[of] + nth * block
+    size = np.minimum(block, counts[of] - nth * block)
+    order = np.argsort(-size, kind="stable")
+    start, size, opens = start[order], size[order], nth[order] == 0
+    reach = np.searchsorted(-size, -np.arange(1, block + 1), side="right")
+
+    def moved(x: np.ndarray, i: int, m: int) -> np.ndarray:
+        """Messages after the move to place i; the first word of a chain is entered from its beginning."""
+        out = x @ step
+        return np.where(opens[:m].reshape(-1, *[1] * (x.ndim - 1)), x * first_word, out) if i == 0 else out
+
+    whole = np.broadcast_to(np.eye(k), (len(start), k, k)).copy()
+    for i in range(block):
+        if m := reach[i]:
+            whole[:m] = _scaled(moved(whole[:m], i, m) * local[start[:m] + i][:, None, :], (1, 2))
+    # Messages between blocks: chains with many blocks go on longest.
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of))  # where a chain's blocks are, in chain order
+    at = np.append(0, np.cumsum(many))[:-1]
+    longest = np.argsort(-many, kind="stable")
+    left = np.ones((len(of), k))
+    right = np.ones((len(of), k))
+    for j in range(1, int(many.max())):
+        some = longest[: np.searchsorted(-many[longest], -j, side="left")]
+        before, here = place[at[some] + j - 1], place[at[some] + j]
+        left[here] = _scaled(np.einsum("nk,nkl->nl", left[before], whole[before]), (1,))
+        last, here = place[at[some] + many[some] - j], place[at[some] + many[some] - j - 1]
+        right[here] = _scaled(np.einsum("nkl,nl->nk", whole[last], right[last]), (1,))
+    ahead = np.zeros((len(start), block, k))
+    a = left
+    for i in range(block):
+        if m := reach[i]:
+            a = _scaled(moved(a[:m], i, m) * local[start[:m] + i], (1,))
+            ahead[:m, i] = a
+    out, moves, back = np.empty((n, k)), np.zeros((k, k)), right.copy()
+    for i in range(block - 1, -1, -1):
+        if not (m := reach[i]):
+            continue
+        out[start[:m] + i] = _scaled(ahead[:m, i] * back[:m], (1,))
+        after = local[start[:m] + i] * back[:m]
+        prior = left[:m] if i == 0 else ahead[:m, i - 1]
+        enters = ~opens[:m] if i == 0 else np.ones(m, bool)  # the first word of a chain is no move
+        if enters.any():
+            p, q = prior[enters], after[enters]
+            moves += step * (p.T @ (q / ((p @ step) * q).sum(axis=1, keepdims=True)))
+        back[:m] = _scaled(after @ step.T, (1,))
     return out, moves
 
 
@@ -146,13 +178,7 @@ class Field:
         blob = np.frombuffer(words.buffers()[2], np.uint8)[: ends[-1]]
         features, owners = word_features(blob, ends, self.lexicon)
         scores = np.stack([np.bincount(owners, weights=self.weights[features, j], minlength=len(words)) for j in range(k)], axis=1)
-        first, lengths = chains(counts)
-        place = first[:, None] + np.arange(CHAIN)
-        inside = np.arange(CHAIN) < lengths[:, None]
-        ids = coded.indices.to_numpy()
-        emit = np.zeros((len(first), CHAIN, k))
-        emit[inside] = scores[ids[place[inside]]]
-        return forward_backward(emit, lengths, self.move, self.begin)[0][inside], counts
+        return forward_backward(scores[coded.indices.to_numpy()], counts, self.move, self.begin)[0], counts
 
 
 def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], steps: int = 50, penalty: float = 0.5, rate: float = 0.1) -> Field:
@@ -160,15 +186,15 @@ def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], steps:
     k = len(languages)
     rng = np.random.default_rng(7)
     by_language = {j: [r for r, y in zip(runs, labels) if y == j] for j in set(labels)}
-    chained, tagged = [r[:CHAIN] for r in runs], [[y] * len(r[:CHAIN]) for r, y in zip(runs, labels)]
+    chained, tagged = [r[:RUN] for r in runs], [[y] * len(r[:RUN]) for r, y in zip(runs, labels)]
     for r, y in zip(runs, labels):
         others = [j for j in by_language if j != y]
         if not others or len(r) < 2:
             continue
         z = others[rng.integers(len(others))]
         other = by_language[z][rng.integers(len(by_language[z]))]
-        cut = int(rng.integers(1, min(len(r), CHAIN)))
-        joined = r[:cut] + other[: CHAIN - cut]
+        cut = int(rng.integers(1, min(len(r), RUN)))
+        joined = r[:cut] + other[: RUN - cut]
         chained.append(joined)
         tagged.append([y] * cut + [z] * (len(joined) - cut))
     lengths = np.array([len(r) for r in chained])
@@ -195,13 +221,9 @@ def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], steps:
         for a in range(0, len(chained), BATCH):
             n = lengths[a : a + BATCH]
             of = ids[ends_of[a] : ends_of[a + len(n)]]
-            inside = np.arange(CHAIN) < n[:, None]
-            emit = np.zeros((len(n), CHAIN, k))
-            emit[inside] = scores[of]
-            marginal, moved = forward_backward(emit, n, params[1], params[2])
+            flat, moved = forward_backward(scores[of], n, params[1], params[2], RUN)
             moves += moved
-            begin += marginal[:, 0].sum(axis=0)
-            flat = marginal[inside]
+            begin += flat[np.cumsum(n) - n].sum(axis=0)
             by_word += np.stack([np.bincount(of, weights=flat[:, j], minlength=len(words)) for j in range(k)], axis=1)
         by_feature = np.stack([np.bincount(features, weights=by_word[owners, j], minlength=size) for j in range(k)], axis=1)
         for p, s, g in zip(params, squares, (by_feature, moves, begin)):
@@ -211,36 +233,46 @@ def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], steps:
     return Field(languages, params[0].astype(np.float32), params[1], params[2], lexicon)
 
 
-def training_runs(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[list[bytes]], list[int], list[str]]:
-    """Runs of words from a bounded sample of documents (doc_id, text, lang)."""
+def training_runs(docs: DataFrame, per_language: int = RUNS_PER_LANGUAGE) -> tuple[list[list[bytes]], list[int], list[str]]:
+    """Runs of words, a bounded sample by hash from all runs of all documents (doc_id, text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
-        return [], [], []
-    # Twice the wanted share by hash, then the smallest hashes of each language.
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))]), F.col("lang"))
-    spot = F.pmod(F.xxhash64(F.lit(10), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
-    picked = known.select(F.col("text").cast("string").alias("text"), "lang", spot.alias("spot")).where(F.col("spot") < share * (1 << 30))
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        letters, offsets, sizes = split_words(pc.utf8_lower(filled(part.column("text"))), ALPHA)
-        starts, rows = np.append(0, np.cumsum(sizes)), []
-        blob = letters.tobytes()
-        for a, b in zip(starts[:-1], starts[1:]):
-            heads = np.unique(np.linspace(a, max(a, b - CHAIN), RUNS).astype(int))
-            rows.append([b" ".join(blob[offsets[i] : offsets[i + 1]] for i in range(h, min(b, h + CHAIN))) for h in heads if b > a])
-        return pa.RecordBatch.from_arrays([part.column("lang"), part.column("spot"), pa.array(rows, pa.list_(pa.binary()))], ["lang", "spot", "runs"])
-
-    got = map_slices(picked, run, "lang string, spot long, runs array<binary>").collect()  # about 2 * per_language rows a language
-    languages = sorted(counts)
-    index = {x: i for i, x in enumerate(languages)}
-    got = sorted(got, key=lambda r: (r.lang, r.spot, r.runs))
-    taken = {x: [r for r in got if r.lang == x][:per_language] for x in languages}
-    pairs = [(bytes(w).split(b" "), index[x]) for x in languages for r in taken[x] for w in r.runs]
-    return [p for p, _ in pairs], [y for _, y in pairs], languages
-
-
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
+    spot = F.xxhash64(F.lit(10), F.col("doc_id"), F.col("text"))
+    rows = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), spot.alias("spot"))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        """The smallest hashes of each language in a task: no more than it may have in all."""
+        best: dict[str, list[tuple[int, bytes]]] = {}
+        for part in sliced(batches, "text"):
+            letters, offsets, counts = split_words(pc.utf8_lower(filled(part.column("text"))), ALPHA)
+            many = -(-counts // RUN)
+            row = np.repeat(np.arange(len(counts)), many)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            begins = np.append(0, np.cumsum(counts))
+            hashes = mixed(part.column("spot").to_numpy().view(np.uint64)[row] + nth.astype(np.uint64) * GOLDEN).view(np.int64)
+            blob, langs = letters.tobytes(), np.array(part.column("lang").to_pylist(), object)
+            for lang in sorted(set(langs[row])):
+                held = best.setdefault(lang, [])
+                mine = np.flatnonzero(langs[row] == lang)
+                mine = mine[np.argsort(hashes[mine], kind="stable")[:per_language]]
+                most = held[-1][0] if len(held) == per_language else None
+                for i in mine[hashes[mine] < most] if most is not None else mine:
+                    a = begins[row[i]] + nth[i] * RUN
+                    z = min(a + RUN, begins[row[i] + 1])
+                    held.append((int(hashes[i]), b" ".join(blob[offsets[j] : offsets[j + 1]] for j in range(a, z))))
+                best[lang] = sorted(held)[:per_language]
+        rows = [(lang, h, w) for lang, held in best.items() for h, w in held]
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "spot", "words"])
+
+    best = Window.partitionBy("lang").orderBy("spot", "words")
+    taken = rows.mapInArrow(run, "lang string, spot long, words binary").withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_language)
+    got = sorted((r.lang, r.spot, bytes(r.words)) for r in taken.collect())  # at most per_language runs a language
+    languages = sorted({lang for lang, _, _ in got})
+    return [w.split(b" ") for _, _, w in got], [languages.index(lang) for lang, _, _ in got], languages
+
+
+def train(docs: DataFrame, per_language: int = RUNS_PER_LANGUAGE) -> Field | None:
     runs, labels, languages = training_runs(docs, per_language)
     return fit(runs, labels, languages) if runs else None
 
@@ -251,7 +283,8 @@ def _has_letter(text: str | None) -> bool:
 
 def identify(docs: DataFrame, field: Field | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, lang_pred, score, *keep), one for each row of docs; keep names columns of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # a fixed number of weights a language
+    passed = tuple(f"keep_{i}" for i in range(len(keep)))
+    shared = Shared(docs.sparkSession, field)  # a fixed number of weights a language
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n = part.num_rows
@@ -265,16 +298,16 @@ def identify(docs: DataFrame, field: Field | None, keep: tuple[str, ...] = ()) -
             best = sums.argmax(axis=1)
             names[good] = np.array(f.languages, object)[best[good]]
             scores[good] = np.clip(sums.max(axis=1)[good] / sums.sum(axis=1)[good], 0, 1)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), *map(part.column, keep)], ["doc_id", "lang_pred", "score", *keep])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), *map(part.column, passed)], ["doc_id", "lang_pred", "score", *passed])
 
-    others = [c for c in keep if c != "text"]
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    return map_slices(narrow, run, "doc_id long, lang_pred string, score double" + kept_schema(narrow, keep), limit=PART_BYTES)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(p) for c, p in zip(keep, passed)])
+    out = map_slices(narrow, run, "doc_id long, lang_pred string, score double" + kept_schema(narrow, passed), limit=PART_BYTES)
+    return out.withColumnsRenamed(dict(zip(passed, keep)))
 
 
 def word_languages(docs: DataFrame, field: Field) -> DataFrame:
     """Rows (doc_id, words): the language of each word, in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = Shared(docs.sparkSession, field)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         marginal, counts = shared.value.marginals(filled(part.column("text")))

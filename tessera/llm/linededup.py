@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, MIX_A, MIX_B, SPACED, filled, hash_words, kept_schema, map_slices, mixed, powers, raw
+from tessera.llm.common import GOLDEN, MIX_A, MIX_B, SPACED, Shared, filled, hash_words, kept_schema, map_slices, mixed, powers, raw
 from tessera.operators.lineage import release, reliable
 
 MIN_DOCS = 5
@@ -142,7 +142,7 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray, min_docs: int, long_doc
     ``floor`` is what the line needs as a whole, null if only its template counts; ``tokens``
     is null if it has none; a field is null among the tokens.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of a fixed size
+    shared = Shared(docs.sparkSession, bitmap)  # of a fixed size
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(filled(part.column("text")))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filled, map_slices, raw
+from tessera.llm.common import Shared, filled, map_slices, raw
 
 NONE = np.iinfo(np.int32).max
 SPACE = "▁"
@@ -232,7 +232,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
 
     The merge table has the size of the vocabulary, a fixed bound, so it is broadcast.
     """
-    shared = spark.sparkContext.broadcast(load_merges(path))
+    shared = Shared(spark, load_merges(path))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = filled(part.column("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALPHA, GOLDEN, bounded_batches, filled, map_slices, mixed, raw, sliced
+from tessera.llm.common import ALPHA, GOLDEN, Shared, bounded_batches, filled, map_slices, mixed, raw, sliced
 from tessera.operators.lineage import reliable
 
 BITS = 18
@@ -162,7 +162,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score), one for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the feature table
+    shared = Shared(docs.sparkSession, model)  # of the size of the feature table
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(filled(part.column("text"))))], ["doc_id", "score"])

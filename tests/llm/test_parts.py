@@ -267,33 +267,43 @@ def test_spans_are_cut(spark):
     assert [r.doc_id for r in decontam.decontaminate(spark, docs, bench).collect()] == [2]
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
+def test_benchmark_in_blocks(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h"), (3, "x")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b"), (2, "e f"), (3, "g h"), (4, "b c")], "item_id long, text string")
     whole = decontam.mark_contamination(spark, docs, bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 5)
-    assert decontam.mark_contamination(spark, docs, bench).orderBy("doc_id").collect() == whole
+    assert decontam.mark_contamination(spark, docs, bench, block_words=2).orderBy("doc_id").collect() == whole
 
 
-def test_forward_backward_is_exact():
-    rng = np.random.default_rng(6)
-    k, t = 3, 5
-    emit, move, begin = rng.normal(size=(2, langid.CHAIN, k)), rng.normal(size=(k, k)), rng.normal(size=k)
-    lengths = np.array([5, 3])
-    got, moves = langid.forward_backward(emit, lengths, move, begin)
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_forward_backward_is_exact(block):
+    """Against all paths, for chains shorter and longer than a block."""
+    rng = np.random.default_rng(3)
+    k, lengths = 3, np.array([5, 3, 0, 1, 7, 6])
+    emit, move, begin = rng.normal(size=(lengths.sum(), k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    got, moves = langid.forward_backward(emit, lengths, move, begin, block)
     total = np.zeros((k, k))
-    for c, n in enumerate(lengths):
+    for n, first in zip(lengths, np.append(0, np.cumsum(lengths))):
         weights, marginal, pair = 0.0, np.zeros((n, k)), np.zeros((k, k))
-        for path in itertools.product(range(k), repeat=int(n)):
-            w = np.exp(begin[path[0]] + sum(emit[c, i, y] for i, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+        for path in itertools.product(range(k), repeat=int(n)) if n else ():
+            w = np.exp(begin[path[0]] + sum(emit[first + i, y] for i, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
             weights += w
             for i, y in enumerate(path):
                 marginal[i, y] += w
             for a, b in zip(path, path[1:]):
                 pair[a, b] += w
-        assert np.allclose(got[c, :n], marginal / weights)
-        total += pair / weights
-    assert np.allclose(moves, total) and t == 5
+        if n:
+            assert np.allclose(got[first : first + n], marginal / weights)
+            total += pair / weights
+    assert np.allclose(moves, total)
+
+
+def test_long_chains_do_not_depend_on_blocks():
+    rng = np.random.default_rng(4)
+    lengths = np.array([5000, 1, 129, 64, 65])
+    emit, move, begin = 5 * rng.normal(size=(lengths.sum(), 4)), 3 * rng.normal(size=(4, 4)), rng.normal(size=4)
+    want = langid.forward_backward(emit, lengths, move, begin, 6000)
+    got = langid.forward_backward(emit, lengths, move, begin)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
 
 
 def test_code_switched_words(spark, tables):
