@@ -41,6 +41,7 @@ RUN = 64
 BLOCK = 64
 BITS = 16
 RUNS_PER_LANGUAGE = 900
+DEALT = 16
 #: Runs that go through forward-backward at a time in training, so its memory does not grow with the sample.
 BATCH = 1024
 #: Bytes of text labelled at a time: marginals take about 30 times as much memory.
@@ -265,8 +266,10 @@ def training_runs(docs: DataFrame, per_language: int = RUNS_PER_LANGUAGE) -> tup
         kinds = (pa.string(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "spot", "words"])
 
-    best = Window.partitionBy("lang").orderBy("spot", "words")
-    taken = rows.mapInArrow(run, "lang string, spot long, words binary").withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_language)
+    # What the tasks hold meets in parts first, so that no task gets more than DEALT times what a language may have.
+    taken = rows.mapInArrow(run, "lang string, spot long, words binary").withColumn("part", F.pmod("spot", F.lit(DEALT)))
+    for by in (["lang", "part"], ["lang"]):
+        taken = taken.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("spot", "words"))).where(F.col("n") <= per_language)
     got = sorted((r.lang, r.spot, bytes(r.words)) for r in taken.collect())  # at most per_language runs a language
     languages = sorted({lang for lang, _, _ in got})
     return [w.split(b" ") for _, _, w in got], [languages.index(lang) for lang, _, _ in got], languages

@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import GOLDEN, MIX_A, SPACED, filled, hash_words, map_slices, mixed, split_words
@@ -127,8 +127,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
+def _place() -> F.Column:
+    """Where a row stands among its group's: known identifiers first, then by identifier and text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(LEAST)).alias("dk"), F.col("tkey"))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (cid, elements) for the representative rows (doc_id, tkey) in wanted."""
+    """Rows (cid, elements) for the representative rows in wanted."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         elements, offsets = shingle_sets(filled(part.column("text")), k)
@@ -136,8 +141,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), lists], ["cid", "elements"])
 
-    rows = _keyed(docs).withColumn("rep", F.struct(F.coalesce("doc_id", F.lit(LEAST)), "tkey"))
-    found = rows.join(wanted, F.col("rep") == F.col("wanted_rep"), "left_semi").select("text")
+    found = _keyed(docs).withColumn("rep", _place()).join(wanted, F.col("rep") == F.col("wanted_rep"), "left_semi").select("text")
     return map_slices(found, run, "cid binary, elements array<long>")
 
 
@@ -301,23 +305,28 @@ def exact_links(group: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
 
 
 def decisions(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (doc_id, tkey, n_shingles, component_id, kept), one for each row of docs."""
+    """Rows (doc_id, tkey, n_shingles, component_id, kept, stays), one for each row of docs.
+
+    ``stays`` is true for the rows of the one document that a group keeps: its first known
+    identifier, and of several texts under that the one with the smallest hash.
+    """
     signed = reliable(signatures(docs, k))
-    rep = F.struct(F.coalesce("doc_id", F.lit(LEAST)), "tkey")
-    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(_place()).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = reliable(classes)
     labels = class_links(docs, classes, k, percent)
-    known = classes.select("cid", "least", "copies")
+    known = classes.select("cid", "least", "copies", "rep")
+    alone = F.col("copies") > 1
     if labels is None:
-        named = known.where("copies > 1").select("cid", F.col("least").alias("component"))
+        named = known.where(alone).select("cid", F.col("least").alias("component"), "rep")
     else:
         joined = known.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-        linked = joined.where(F.col("label").isNotNull())
-        lowest = linked.groupBy("label").agg(F.min("least").alias("component"))
-        named = linked.join(lowest, "label").select("cid", "component").union(joined.where(F.col("label").isNull() & (F.col("copies") > 1)).select("cid", F.col("least").alias("component")))
+        linked = joined.where(F.col("label").isNotNull()).select("cid", "label", "least", "rep")
+        lowest = linked.groupBy("label").agg(F.min("least").alias("component"), F.min("rep").alias("rep"))
+        named = linked.select("cid", "label").join(lowest, "label").select("cid", "component", "rep").union(joined.where(F.col("label").isNull() & alone).select("cid", F.col("least").alias("component"), "rep"))
     out = signed.select("doc_id", "tkey", "n_shingles", "cid").join(named.withColumn("known", F.lit(True)), "cid", "left")
     component = F.when(F.col("known"), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "tkey", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    stays = F.col("known").isNull() | (_place() == F.col("rep"))
+    return out.select("doc_id", "tkey", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -325,17 +334,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     component_id is the smallest doc_id among the documents that links reach.
     """
-    return decisions(docs, k, percent).drop("tkey")
+    return decisions(docs, k, percent).drop("tkey", "stays")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without those whose group keeps another document.
+    """One row of docs, all columns, for each group; rows without any word each stay, but for exact repeats.
 
-    Rows that repeat both identifier and text stay or go together.
+    Of rows that repeat both identifier and text one stays, the first by the other columns;
+    all but one of them go before anything is shuffled, however many there are.
     """
-    gone = decisions(docs, k, percent).where(~F.col("kept")).select(F.struct(F.coalesce("doc_id", F.lit(LEAST)), "tkey").alias("gone"))
-    key = F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST)), F.xxhash64(docs["text"].cast("string")))
-    return docs.join(gone, key == gone["gone"], "left_anti")
+    gone = decisions(docs, k, percent).where(~F.col("stays")).select(F.coalesce("doc_id", F.lit(LEAST)).alias("gone_dk"), F.col("tkey").alias("gone_tk")).distinct()
+    keyed = docs.withColumns({"_dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "_tk": F.xxhash64(F.col("text").cast("string"))})
+    left = keyed.join(gone, (F.col("_dk") == F.col("gone_dk")) & (F.col("_tk") == F.col("gone_tk")), "left_anti")
+    others = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    once = Window.partitionBy("_dk", "_tk").orderBy(*(others or [F.lit(0)]))
+    return left.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_dk", "_tk", "_nth")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,22 @@
 
 Features are hashed character 3- to 5-grams within words (a word's ends count as a
 character), present or absent in the whole text.  From labelled rows come each feature's
-log-count ratio and a chi-square test of its presence against the label; the most telling
-features, scaled by their ratios, feed a logistic regression.
+log-count ratio and a chi-square test of its presence against the label; every feature that
+passes the test at ``SIGNIFICANT`` (p < 0.001) takes part, scaled by its ratio, in a logistic
+regression over sparse rows.
 
 Training uses a bounded sample of labelled rows: at most ``per_class`` of either label, by
-the order of a hash of the identifier.  The intercept is set back to the label shares of
-all labelled rows.  Scoring reads every whole text, in one pass without a shuffle.
+the order of a hash of the identifier; their whole texts are read.  The intercept is set back
+to the label shares of all labelled rows.  Scoring reads every whole text, in one pass
+without a shuffle.
 
 Defined results: null and empty texts get the score of a text without features; with one
 label only (or none) every text gets the share of label 1 among the labelled rows (0
 without any); rows without a label, or with a null one, are not learned from; an
-identifier with two labels counts as toxic.
+identifier with two labels counts as toxic, one with two texts is learned from by the
+smaller; ties of the hash go by identifier; very long texts are read whole, repeated rows
+scored each; an empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ALPHA, GOLDEN, Shared, bounded_batches, filled, map_slices, mixed, raw, sliced
 from tessera.operators.lineage import reliable
 
-BITS = 18
+BITS = 20
 SIZE = 1 << BITS
 ORDERS = (3, 4, 5)
-CHOSEN = 2048
-PER_CLASS = 4000
+#: Chi-square with one degree of freedom at p = 0.001.
+SIGNIFICANT = 29.8
+PER_CLASS = 3000
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -125,36 +131,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     with_, without = seen.astype(float), rows[:, None] - seen
     total = with_.sum(axis=0) * without.sum(axis=0) * rows[0] * rows[1]
     chi = np.divide(rows.sum() * (with_[1] * without[0] - with_[0] * without[1]) ** 2, total, out=np.zeros(SIZE), where=total > 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:CHOSEN])
-    chosen = chosen[chi[chosen] > 0]
-    wanted = np.zeros(SIZE, bool)
-    wanted[chosen] = True
+    wanted = chi >= SIGNIFICANT
+    chosen = np.flatnonzero(wanted)
 
     def encode(part: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.zeros((part.num_rows, CHOSEN), bool)
         who, features = grams(filled(part.column("text")), wanted)
-        x[who, np.searchsorted(chosen, features)] = True
-        return pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in np.packbits(x, axis=1)], pa.binary()), part.column("y")], ["x", "y"])
-
-    got = map_slices(sample, encode, "x binary, y int").collect()  # a fixed number of bits for each sampled row
-    x = np.unpackbits(np.frombuffer(b"".join(r.x for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(chosen)]
-    x, y = x.astype(np.float32) * ratio[chosen].astype(np.float32), np.array([r.y for r in got], np.float32)
-    order = np.lexsort([y, *x[:, :8].T])  # sums in one order whatever order rows came in
-    w, b = _logistic(x[order], y[order])
+        ends = np.searchsorted(who, np.arange(part.num_rows + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.searchsorted(chosen, features).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([lists.cast(pa.list_(pa.int32())), part.column("y")], ["x", "y"])
+
+    packed = map_slices(sample, encode, "x array<int>, y int").toArrow()  # the sampled rows' features that passed
+    xs, y = packed.column("x").combine_chunks(), packed.column("y").to_numpy().astype(np.float64)
+    sizes = np.diff(xs.offsets.to_numpy())
+    row, feature = np.repeat(np.arange(len(y)), sizes), xs.flatten().to_numpy().astype(np.int64)
+    # Rows in one order whatever order they came in, so that sums are the same.
+    key = np.bincount(row, weights=np.sin(feature + 1.0), minlength=len(y))
+    place = np.empty(len(y), np.int64)
+    order = np.lexsort([key, sizes, y])
+    place[order] = np.arange(len(y))
+    row, y = place[row], y[order]
+    by = np.lexsort([feature, row])
+    w, b = _logistic(row[by], feature[by], ratio[chosen], y)
     weights = np.zeros(SIZE)
     weights[chosen] = w * ratio[chosen]
     shift = np.log(ones / zeros) - np.log(rows[1] / rows[0])
     return Model(weights, float(b + shift), wanted)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1.0, rate: float = 0.02) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by Adam on the whole sample."""
-    n, d = x.shape
+def _logistic(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1.0, rate: float = 0.03) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by Adam on the whole sample: sparse rows of scaled features."""
+    n, d = len(y), len(scale)
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:d].astype(np.float32) + w[d], -60, 60)))
-        g = np.append(x.T @ (p - y).astype(np.float32) / n + penalty * w[:d] / n, (p - y).mean())
+        z = np.bincount(row, weights=(w[:d] * scale)[feature], minlength=n) + w[d]
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        g = np.append(np.bincount(feature, weights=(p - y)[row], minlength=d) * scale / n + penalty * w[:d] / n, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w[:d], float(w[d])
