@@ -107,3 +107,16 @@ def sparse_counts(spark: SparkSession, matrix: str, genes: str, cells: str) -> D
     shape = spark.read.text(matrix).where(~F.startswith("value", F.lit("%"))).first()[0].split()
     rows = rows.where(~((F.col("g") == int(shape[0])) & (F.col("k") == int(shape[1])) & (F.col("n") == int(shape[2]))))
     return rows.join(number(genes, "gene").withColumnRenamed("n", "g"), "g").join(number(cells, "cell").withColumnRenamed("n", "k"), "k").select("gene", "cell", "n")
+
+
+def gene_names(spark: SparkSession, path: str) -> DataFrame:
+    """Names of genes (name, symbol): identifiers, current and previous symbols; a current symbol is no other gene's old one."""
+    t = delimited(spark, path, "\t", ("hgnc_id", "symbol", "prev_symbol"))
+    old = F.filter(F.transform(F.split(F.coalesce("prev_symbol", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    names = t.select(F.col("hgnc_id").alias("name"), "symbol").union(t.select(F.explode(old).alias("name"), "symbol").join(t.select(F.col("symbol").alias("name")), "name", "left_anti"))
+    return names.groupBy("name").agg(F.min("symbol").alias("symbol"))
+
+
+def pseudobulk(counts: DataFrame, cells: DataFrame, group: str) -> DataFrame:
+    """Counts (gene, cell, n) summed over the cells of each group: rows (group, gene, n, cells)."""
+    return counts.join(cells, "cell").groupBy(group, "gene").agg(F.sum("n").alias("n"), F.countDistinct("cell").alias("cells"))

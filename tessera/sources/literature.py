@@ -95,3 +95,12 @@ def gold_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     mentions = cells.where(F.get("c", F.lit(1)).rlike(r"^\d+$")).select(F.get("c", F.lit(0)).alias("id"), F.get("c", F.lit(1)).cast("int").alias("start"), F.get("c", F.lit(2)).cast("int").alias("end"), F.get("c", F.lit(3)).alias("text"), F.get("c", F.lit(4)).alias("type"), F.get("c", F.lit(5)).alias("concept"))
     relations = cells.where(~F.get("c", F.lit(1)).rlike(r"^\d+$")).select(F.get("c", F.lit(0)).alias("id"), F.get("c", F.lit(1)).alias("relation"), F.get("c", F.lit(2)).alias("first"), F.get("c", F.lit(3)).alias("second"))
     return text, mentions, relations
+
+
+def gold_tables(spark: SparkSession, entities: str, relations: str) -> DataFrame:
+    """Gold relations of two tables, entities (document, term, type, start, end, text) and relations (document, type, Arg1:term, Arg2:term): rows (id, relation, first, second, and their types)."""
+    cell = lambda i: F.get("c", F.lit(i))
+    e = spark.read.text(entities).select(F.split("value", "\t").alias("c")).select(cell(0).alias("id"), cell(1).alias("term"), cell(2).alias("type"), cell(5).alias("text"))
+    r = spark.read.text(relations).select(F.split("value", "\t").alias("c")).select(cell(0).alias("id"), cell(1).alias("relation"), F.split_part(cell(2), F.lit(":"), F.lit(2)).alias("t1"), F.split_part(cell(3), F.lit(":"), F.lit(2)).alias("t2"))
+    side = lambda n, name: e.select("id", F.col("term").alias(f"t{n}"), F.col("text").alias(name), F.col("type").alias(f"{name}_type"))
+    return r.join(side(1, "first"), ["id", "t1"]).join(side(2, "second"), ["id", "t2"]).drop("t1", "t2")

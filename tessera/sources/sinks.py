@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.udfs import countries
 from tessera.operators.ledger import canonical
 from tessera.schemas import KEYS, TABLES
 
@@ -33,8 +34,10 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.folder}/{table}/_current")
-        return self.spark.read.text(f"{self.folder}/{table}/_current").first()[0] if fs.exists(p) else None
+        """The last version that was finished: pointers are only ever added, so there is always one to read."""
+        fs, p = self._fs(f"{self.folder}/{table}/_pointers")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        return names[-1] if names else None
 
     def read(self, table: str) -> DataFrame:
         """The current version; an empty table where there is none."""
@@ -42,29 +45,42 @@ class Store:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.folder}/{table}/{version}") if version else self.spark.createDataFrame([], TABLES[table])
 
     def write(self, table: str, df: DataFrame) -> str:
-        version = f"v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+        version = f"v-{datetime.now(UTC):%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.folder}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{table}/_current")
+        fs, p = self._fs(f"{self.folder}/{table}/_pointers/{version}")
+        fs.mkdirs(p)
         return version
 
     def upsert(self, table: str, new: DataFrame, order: str | None = None) -> tuple[int, int]:
-        """Insert or replace by natural key; the last of equal keys wins.  Returns (inserted, updated)."""
+        """Insert or replace by natural key.  Returns (inserted, updated).
+
+        Of equal keys the last in ``order`` wins; without an order the largest row, so that reruns agree.
+        """
         keys = list(KEYS[table])
         old = self.read(table)
-        if order:
-            others = [c for c in new.columns if c not in keys and c != order]
-            new = new.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
-        else:
-            new = new.dropDuplicates(keys)
+        others = [c for c in new.columns if c not in keys and c != order]
+        last = F.col(order) if order else F.to_json(F.struct(*others))
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*others), last).alias("_r")).select(*keys, "_r.*")
         new = new.select(*old.columns)
         held = old.select(*keys, F.lit(True).alias("_held"))
         counts = new.select(*keys).join(held, keys, "left").agg(F.count("*").alias("n"), F.count("_held").alias("u")).first()
         self.write(table, merged(old, new, keys))
         return counts["n"] - counts["u"], counts["u"]
 
+    def _log(self, run: dict) -> None:
+        self.spark.createDataFrame([tuple(run.values())], TABLES["ingestion_runs"]).coalesce(1).write.mode("append").parquet(f"{self.folder}/ingestion_runs/log")
+
+    def runs(self) -> DataFrame:
+        """The last state of every run; one that never ended is still running."""
+        log = self.spark.read.schema(TABLES["ingestion_runs"]).parquet(f"{self.folder}/ingestion_runs/log")
+        rest = [c for c in log.columns if c != "run_id"]
+        last = F.max_by(F.struct(*rest), F.coalesce("completed_at", F.timestamp_seconds(F.lit(0))))
+        return log.groupBy("run_id").agg(last.alias("r")).select("run_id", "r.*")
+
     def ingest(self, table: str, new: DataFrame, source: str, query: str) -> dict:
-        """An upsert with its audit row: running, then completed with counts or failed with the error."""
+        """An upsert with its audit rows: running as it begins, then completed with counts or failed with the error."""
         run = {"run_id": uuid.uuid4().hex, "source": source, "query": query, "status": "running", "error": None, "started_at": datetime.now(UTC), "completed_at": None, "total_found": None, "fetched": None, "inserted": None, "updated": None}
+        self._log(run)
         try:
             run["inserted"], run["updated"] = self.upsert(table, new)
             run["status"], run["fetched"] = "completed", run["inserted"] + run["updated"]
@@ -73,9 +89,22 @@ class Store:
             raise
         finally:
             run["completed_at"] = datetime.now(UTC)
-            self.spark.createDataFrame([tuple(run.values())], TABLES["ingestion_runs"]).coalesce(1).write.mode("append").parquet(f"{self.folder}/ingestion_runs/log")
+            self._log(run)
         return run
 
+    def ingest_batches(self, table: str, new: DataFrame, source: str, query: str, batch: Column, batches: int) -> dict:
+        """Like ``ingest`` in several commits: rows are dealt to batches by a column, and a crash keeps the batches before."""
+        totals = {"inserted": 0, "updated": 0}
+        for i in range(batches):
+            run = self.ingest(table, new.where(F.pmod(batch, F.lit(batches)) == i), source, f"{query} [{i + 1}/{batches}]")
+            totals = {k: totals[k] + run[k] for k in totals}
+        return totals
+
+
+def canonical_countries(trials: DataFrame) -> DataFrame:
+    """Trials with their countries in canonical form, first seen first."""
+    return trials.withColumn("countries", countries("countries"))
+
 
 def stale_embeddings(embeddings: DataFrame, changed: DataFrame) -> DataFrame:
     """Embeddings without those of documents whose title or abstract changed (document_id)."""

@@ -127,7 +127,8 @@ def test_payload_manifest(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     f = tmp_path / "raw" / "a.bin"
     f.write_bytes(b"one")
-    m = common.payload_manifest(spark, str(tmp_path / "raw")).localCheckpoint()
+    m = common.payload_manifest(spark, str(tmp_path / "raw"))
+    m = spark.createDataFrame(m.collect(), m.schema)
     assert common.damaged(m, common.payload_manifest(spark, str(tmp_path / "raw"))).count() == 0
     f.write_bytes(b"two")
     assert common.damaged(m, common.payload_manifest(spark, str(tmp_path / "raw"))).count() == 1
@@ -142,7 +143,9 @@ def test_upsert_is_idempotent_and_audited(spark, tmp_path):
     run = store.ingest("documents", more, "a", "q")
     assert (run["status"], run["inserted"], run["updated"]) == ("completed", 1, 1)
     assert {(r.source_id, r.title) for r in store.read("documents").collect()} == {("1", "U"), ("2", "V")}
-    assert spark.read.parquet(str(tmp_path / "store/ingestion_runs/log")).count() == 1
+    assert [(r.status, r.inserted) for r in store.runs().collect()] == [("completed", 1)]
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "store/ingestion_runs/log")).orderBy(F.col("completed_at").asc_nulls_first()).collect()] == ["running", "completed"]
+    assert store.ingest_batches("documents", more, "a", "q", F.xxhash64("source_id"), 3) == {"inserted": 0, "updated": 2}
 
 
 def test_exports(spark, tmp_path):
