@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates as agg
+from tessera.operators import aggregates as agg, links
 from tessera.operators import scoring
 from tessera.plans.registry import load, query
 
@@ -185,13 +185,34 @@ def a27(spark, d):
     return agg.auroc(both, ["lang"], "quality", "n_chars")
 
 
-@query("a28_link_metrics", """
-WITH s AS (SELECT o_custkey AS q, o_orderkey, o_totalprice AS score FROM orders), r AS (SELECT q, o_orderkey, rank() OVER (PARTITION BY q ORDER BY score DESC) AS rank FROM s), t AS (SELECT q, min(o_orderkey) AS o_orderkey FROM s GROUP BY q) SELECT avg(1.0 / rank) AS mrr, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS hits1, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS hits5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS hits10, median(rank) AS median_rank FROM r JOIN t USING (q, o_orderkey)""")
+_RANKS = """
+WITH e AS (SELECT vec_id, label % 3 AS kind, label % 2 AS relation, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT a.vec_id AS query, a.relation, list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]) AS v, a.vec_id + 2 AS target FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0),
+s AS (SELECT q.query, q.relation, q.target, t.kind, list_dot_product(q.v, t.v) AS score, q.v FROM q JOIN e t ON t.vec_id = target), n AS (SELECT s.query, s.relation, e.vec_id AS node, e.kind = s.kind AS typed, e.vec_id > s.query + 2 AND e.vec_id <= s.query + 40 AS known FROM s JOIN e ON list_dot_product(s.v, e.v) > s.score + 1e-12 * abs(s.score)),
+r AS (SELECT s.query, s.relation, 1 + count(n.node) AS raw, 1 + count(n.node) FILTER (WHERE NOT known) AS filtered, 1 + count(n.node) FILTER (WHERE NOT known AND typed) AS typed FROM s LEFT JOIN n USING (query, relation) GROUP BY 1, 2)"""
+
+
+def link_tests(spark, d):
+    """Held-out links over the vectors: nodes, queries with their relation, and other known answers."""
+    e = load(spark, d, "embeddings")
+    nodes = e.select(F.col("vec_id").alias("node"), (F.col("label") % 3).alias("kind"), F.col("embedding").cast("array<double>").alias("vector"))
+    relation = e.select((F.col("vec_id") - 1).alias("query"), F.col("embedding").cast("array<double>").alias("r"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), (F.col("label") % 2).alias("relation"), F.col("embedding").cast("array<double>").alias("h")).join(relation, "query")
+    tests = asked.select("query", "relation", links.distmult_query(F.col("h"), F.col("r")).alias("vector"), (F.col("query") + 2).alias("target"))
+    known = tests.select("query", F.explode(F.sequence(F.col("query") + 2, F.col("query") + 40)).alias("node"))
+    return nodes, tests, known
+
+
+@query("a28_link_ranks", _RANKS + " SELECT query, raw, filtered, typed FROM r")
 def a28(spark, d):
-    s = load(spark, d, "orders").select(F.col("o_custkey").alias("q"), "o_orderkey", F.rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"))).alias("rank"))
-    truth = s.groupBy("q").agg(F.min_by("rank", "o_orderkey").alias("rank"))
-    hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hits{k}")
-    return truth.agg(F.avg(1.0 / F.col("rank")).alias("mrr"), hit(1), hit(5), hit(10), F.median("rank").alias("median_rank"))
+    nodes, tests, known = link_tests(spark, d)
+    return links.link_ranks(nodes, tests.drop("relation"), known)
+
+
+@query("a28_link_metrics", _RANKS + " SELECT relation, count(*) AS n, avg(1.0 / filtered) AS mrr, avg(filtered) AS mean_rank, median(filtered) AS median_rank, avg((filtered <= 1)::INTEGER) AS hits_1, avg((filtered <= 5)::INTEGER) AS hits_5, avg((filtered <= 10)::INTEGER) AS hits_10 FROM r GROUP BY 1")
+def a28b(spark, d):
+    nodes, tests, known = link_tests(spark, d)
+    ranks = links.link_ranks(nodes, tests.drop("relation"), known).join(tests.select("query", "relation"), "query")
+    return links.rank_metrics(ranks, "filtered", ["relation"])
 
 
 @query("a29_coverage", "SELECT l_returnflag, avg(CASE WHEN l_quantity BETWEEN 10 AND 45 THEN 1.0 ELSE 0 END) AS coverage, avg(abs(l_quantity - 25)) AS mae FROM lineitem GROUP BY 1")

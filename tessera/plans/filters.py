@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import evidence, ranking, search
+from tessera.operators import evidence, publications, ranking, search
 from tessera.plans.registry import load, query
 
 
@@ -58,31 +58,40 @@ def f08(spark, d):
     return load(spark, d, "events").where(~F.try_variant_get(F.try_parse_json("props"), "$.k", "int").isin(1, 2, 3)).select("event_id")
 
 
-@query("f09_relation_classifier", "SELECT CASE WHEN p_type LIKE '%STEEL' THEN 'named' WHEN p_type LIKE 'PROMO%' THEN 'class' ELSE 'other' END AS relation, count(*) AS n FROM part GROUP BY 1")
+@query("f09_relation_classifier", "SELECT CASE WHEN p_type = 'LARGE' OR p_brand LIKE '%2' THEN 'close' WHEN p_type IN ('PROMO', 'SMALL') THEN 'class_safety' ELSE 'distant' END AS relation, count(*) AS n FROM part GROUP BY 1")
 def f09(spark, d):
-    relation = F.when(F.endswith(F.col("p_type"), F.lit("STEEL")), "named").when(F.startswith(F.col("p_type"), F.lit("PROMO")), "class").otherwise("other")
+    relation = publications.class_relation(F.array(F.col("p_type"), F.when(F.endswith(F.col("p_brand"), F.lit("2")), "Very-Large thing")), ("large",), ("promo", "small"))
     return load(spark, d, "part").groupBy(relation.alias("relation")).agg(F.count("*").alias("n"))
 
 
-@query("f10_population_gate", "SELECT doc_id, CASE WHEN regexp_matches(text, '^The') THEN 'title' WHEN len(regexp_extract_all(lower(text), 'the ')) > 5 THEN 'abstract' ELSE 'none' END AS gate FROM documents")
+@query("f10_population_gate", """
+SELECT doc_id, doc_id % 4 IN (0, 2) OR doc_id % 8 = 3 AS verdict, CASE WHEN doc_id % 4 = 1 THEN 'title names another condition' WHEN doc_id % 4 IN (0, 2) THEN 'title names the topic' WHEN doc_id % 8 = 3 THEN 'abstract names them as subjects' ELSE 'none' END AS rule FROM documents""")
 def f10(spark, d):
-    gate = F.when(F.col("text").rlike("^The"), "title").when(F.regexp_count(F.lower("text"), F.lit("the ")) > 5, "abstract").otherwise("none")
-    return load(spark, d, "documents").select("doc_id", gate.alias("gate"))
+    title = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Outcomes in Topicosis and melanoma' WHEN 1 THEN 'Melanoma after topicosis' WHEN 2 THEN 'On topicosis' ELSE 'A study' END")
+    abstract = F.concat(F.col("text"), F.expr("CASE doc_id % 8 WHEN 3 THEN ' patients  with topicosis' ELSE ' topicosis' END"))
+    gate = publications.studies_topic(title, abstract, ("topicosis",), ("melanoma",))
+    return load(spark, d, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.verdict", "g.rule")
 
 
-@query("f11_reports_a_trial", """
-SELECT doc_id, CASE WHEN quality = 0 THEN 'no' WHEN toxic = 1 THEN 'registry' WHEN lang IN ('de', 'fr') THEN 'abstract' ELSE 'none' END AS decision FROM documents JOIN labels USING (doc_id)""")
+_RULES = ("type rules it out", "about trials", "not in people", "title names a design", "no treatment studied", "type rules it in", "title names no treatment", "abstract", "abstract", "title compares", "none")
+
+
+@query("f11_reports_a_trial", f"SELECT doc_id, doc_id % 11 IN (3, 5, 7, 9) AS verdict, {list(_RULES)}[1 + doc_id % 11] AS rule FROM documents")
 def f11(spark, d):
-    both = load(spark, d, "documents").select("doc_id", "lang").join(load(spark, d, "labels"), "doc_id")
-    types = F.array("lang", F.lit("article"))
-    decision = text.first_of({"no": F.col("quality") == 0, "registry": F.col("toxic") == 1, "abstract": F.arrays_overlap(types, F.array(F.lit("de"), F.lit("fr"))), "none": F.lit(True)})
-    return both.select("doc_id", decision.alias("decision"))
+    title = F.expr("array('A randomised cream', 'Lessons of trials', 'Cream in mice', 'A Double-Blind study', 'Prevalence of use of a cream', 'Notes', 'Notes', 'A cream for all', 'A cream for all', 'Cream versus tablet', 'A cream alone')[doc_id % 11]")
+    types = F.expr("CASE doc_id % 11 WHEN 0 THEN array('Review') WHEN 5 THEN array('Clinical Trial') WHEN 4 THEN array('Clinical Trial') END")
+    abstract = F.concat(F.col("text"), F.expr("CASE doc_id % 11 WHEN 7 THEN ' were randomly assigned.' ELSE '.' END"))
+    abstract = F.when(F.col("doc_id") % 11 < 9, abstract)
+    told = publications.reports_a_trial(title, abstract, types)
+    return load(spark, d, "documents").select("doc_id", told.alias("t")).select("doc_id", "t.verdict", "t.rule")
 
 
-@query("f12_observational_gate", "SELECT doc_id, CASE WHEN n_chars > 3000 THEN 'cohort' WHEN n_chars > 1500 THEN 'series' ELSE 'report' END AS design FROM documents WHERE lang = 'en' AND contains(lower(text), 'the')")
+@query("f12_observational_gate", "SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AS outcome, CASE WHEN doc_id % 3 = 1 AND doc_id % 2 = 1 THEN 'retrospective' ELSE 'prospective_or_unstated' END AS design FROM documents")
 def f12(spark, d):
-    design = text.first_of({"cohort": F.col("n_chars") > 3000, "series": F.col("n_chars") > 1500, "report": F.lit(True)})
-    return load(spark, d, "documents").where((F.col("lang") == "en") & F.contains(F.lower("text"), F.lit("the"))).select("doc_id", design.alias("design"))
+    title = F.expr("CASE doc_id % 3 WHEN 0 THEN 'Randomized vaccine in melanoma' WHEN 1 THEN 'A chart-review' ELSE 'Vaccine in melanoma' END")
+    abstract = F.concat(F.col("text"), F.expr("CASE doc_id % 2 WHEN 0 THEN ' topicosis followed, a prospective finding' ELSE '' END"))
+    outcome = publications.topic_as_outcome(title, abstract, F.lit(None).cast("array<string>"), ("topicosis",), ("melanoma",), ("vaccine",))
+    return load(spark, d, "documents").select("doc_id", outcome.alias("outcome"), publications.design_of(title, abstract).alias("design"))
 
 
 _TYPES = "CASE doc_id % 9 WHEN 0 THEN 'Meta-Analysis' WHEN 1 THEN 'Systematic Review' WHEN 2 THEN 'Randomized Controlled Trial' WHEN 3 THEN 'Case Reports' WHEN 4 THEN 'Review' WHEN 5 THEN 'Observational Study' WHEN 6 THEN 'Clinical Trial' WHEN 7 THEN 'Journal Article' END"
@@ -128,9 +137,9 @@ def f17(spark, d):
     return evidence.comparable(rows, evidence.anchor_populations(rows)).select("event_id")
 
 
-@query("f18_control_exclusion", "SELECT p_partkey FROM part WHERE NOT regexp_matches(lower(p_type), 'tin|brass')")
+@query("f18_control_exclusion", "SELECT p_partkey FROM part WHERE NOT regexp_matches(lower(p_type), 'promo|small')")
 def f18(spark, d):
-    return load(spark, d, "part").where(~F.lower("p_type").rlike("tin|brass")).select("p_partkey")
+    return load(spark, d, "part").where(~F.lower("p_type").rlike("promo|small")).select("p_partkey")
 
 
 @query("f19_licence_filter", "SELECT event_id, list_filter([event_type || ':a', 'open:b'], lambda x: NOT starts_with(x, 'view') AND NOT starts_with(x, 'error')) AS evidence, CASE WHEN event_type = 'click' THEN 1 ELSE 2 END AS n_ids FROM events")
@@ -139,19 +148,21 @@ def f19(spark, d):
     return rows.select("event_id", evidence.public_evidence(F.col("ev"), ("view", "error")).alias("evidence"), F.size(evidence.public_ids(F.col("ids"), ("click",))).alias("n_ids"))
 
 
-@query("f20_topic_centred", "SELECT doc_id FROM documents WHERE contains(lower(left(text, 50)), 'the') OR contains(lower(left(text, 50)), 'queen') OR len(regexp_extract_all(lower(text), 'queen')) >= 2")
+@query("f20_topic_centred", "SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') OR len(regexp_extract_all(lower(text), 'the')) >= 2")
 def f20(spark, d):
-    title, body = F.substring("text", 1, 50), F.col("text")
-    return load(spark, d, "documents").where(F.contains(F.lower(title), F.lit("the")) | evidence.centred(title, body, "queen")).select("doc_id")
+    source, body = F.col("source"), F.col("text")
+    return load(spark, d, "documents").where(F.contains(F.lower(source), F.lit("src1")) | evidence.centred(F.lit(""), body, "the")).select("doc_id")
 
 
-@query("f21_sample_relevance", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, bool_or(contains(url, '/en/')) AS relevant, count(*) AS samples FROM pages GROUP BY 1")
+@query("f21_sample_relevance", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS series, bool_or(contains(url, '/en/') AND page_id % 2 = 0) AS relevant, count(*) AS samples FROM pages GROUP BY 1")
 def f21(spark, d):
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    return load(spark, d, "pages").groupBy(host.alias("host")).agg(F.bool_or(F.contains("url", F.lit("/en/"))).alias("relevant"), F.count("*").alias("samples"))
+    none = F.lit(None).cast("string")
+    samples = load(spark, d, "pages").select(host.alias("series"), none.alias("series_title"), none.alias("title"), F.lit("skin").alias("source_name"), F.create_map(F.when(F.col("page_id") % 2 == 0, "disease").otherwise("note"), F.upper("url")).alias("characteristics"))
+    return publications.relevant_series(samples, "/EN/", ("disease", "phenotype"))
 
 
-@query("f22_trusted_claims", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE (l_returnflag = 'R') OR (l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 25) GROUP BY 1, 2")
+@query("f22_trusted_claims", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' OR (l_returnflag = 'R' AND l_linestatus = 'F') GROUP BY 1, 2")
 def f22(spark, d):
-    trusted = (F.col("l_returnflag") == "R") | ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 25))
-    return load(spark, d, "lineitem").where(trusted).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    claims = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("subject"), F.expr("CASE l_returnflag WHEN 'R' THEN 'treats' WHEN 'A' THEN 'combined_with' ELSE 'inhibits' END").alias("predicate"), F.col("l_linestatus").alias("object"), "l_returnflag", "l_linestatus")
+    return publications.trusted_claims(claims, ("combined_with",), {"treats": "F"}).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, links
 from tessera.plans.registry import load, query
 
 
@@ -125,10 +125,12 @@ def g20(spark, d):
 
 
 @query("g21_reverse_screen", """
-WITH s AS (SELECT l_suppkey, l_partkey % 20 AS t, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2), k AS (SELECT l_suppkey, v, row_number() OVER (PARTITION BY l_suppkey ORDER BY v DESC, t) AS n FROM s) SELECT l_suppkey, avg(v) + CASE WHEN l_suppkey % 2 = 0 THEN 0.05 ELSE 0 END AS score FROM k WHERE n <= 3 GROUP BY l_suppkey ORDER BY score DESC, l_suppkey LIMIT 20""")
+WITH s AS (SELECT l_suppkey AS drug, l_partkey % 20 AS target, avg(l_discount) * 10 AS score, max(l_quantity) >= 50 AND l_suppkey % 3 = 0 AS sure FROM lineitem GROUP BY 1, 2), b AS (SELECT target, greatest(quantile_cont(score, 0.88), 0.5) AS bar FROM s GROUP BY 1), m AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY score DESC) AS n FROM s JOIN b USING (target)),
+p AS (SELECT drug, avg(score) FILTER (WHERE n <= 3) AS mean, count(*) FILTER (WHERE sure) AS sure, coalesce(list(target || CASE WHEN sure THEN '*' ELSE '' END ORDER BY score + CASE WHEN sure THEN 2 ELSE 0 END DESC) FILTER (WHERE sure OR score >= bar), [])[1:5] AS matches FROM m GROUP BY 1),
+t AS (SELECT drug, 'n' || (drug % 70) AS name, matches, 0.6 * (mean + 0.35 * least(sure, 3)) + 0.4 * (s_acctbal / 10000 - 0.75 * greatest(0, s_nationkey / 25.0 - 0.5)) + CASE WHEN drug % 5 = 0 THEN 0.45 ELSE 0 END AS score FROM p JOIN supplier ON s_suppkey = drug),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, drug) AS k FROM t) SELECT drug, name, score, matches, row_number() OVER (ORDER BY score DESC, drug) AS rank FROM o WHERE k = 1""")
 def g21(spark, d):
-    from tessera.operators.ranking import diverse
-
-    s = load(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 20).alias("t")).agg(F.avg("l_discount").alias("v"))
-    top = diverse(s, "l_suppkey", [F.desc("v"), F.col("t")], 3).groupBy("l_suppkey").agg(F.avg("v").alias("m"))
-    return top.select("l_suppkey", (F.col("m") + F.when(F.col("l_suppkey") % 2 == 0, 0.05).otherwise(0.0)).alias("score")).orderBy(F.desc("score"), "l_suppkey").limit(20)
+    l = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("drug"), (F.col("l_partkey") % 20).alias("target"))
+    s = l.agg((F.avg("l_discount") * 10).alias("score"), F.max("l_quantity").alias("q"))
+    overall = load(spark, d, "supplier").select(F.col("s_suppkey").alias("drug"), F.concat(F.lit("n"), (F.col("s_suppkey") % 70).cast("string")).alias("name"), (F.col("s_acctbal") / 10000).alias("treats"), (F.col("s_nationkey") / 25.0 - 0.5).alias("causes"), F.when(F.col("s_suppkey") % 5 == 0, 0.45).otherwise(0.0).alias("adjustment"))
+    return links.screen(s.drop("q"), s.where("q >= 50 AND drug % 3 = 0").select("drug", "target"), overall)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import labels, passages, stats, text, udfs
-from tessera.operators import evidence, ingestion, ledger, statistics
+from tessera.operators import evidence, ingestion, ledger, mechanisms, statistics
 from tessera.operators.ordering import ranked
 from tessera.operators.statistics import pareto_k
 from tessera.plans.registry import load, query
@@ -27,10 +27,10 @@ def x01(spark, d):
     return ingestion.flatten_results(trials).select("source_id", "class_title", "group_id", "group_title", "value", "n_analyzed")
 
 
-@query("x03_three_valued", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN TRUE WHEN p_type LIKE '%BRASS%' THEN FALSE END AS phototherapy FROM part")
+@query("x03_three_valued", "SELECT p_partkey, CASE WHEN p_type LIKE '%LARGE%' THEN TRUE WHEN p_type LIKE '%PROMO%' THEN FALSE END AS phototherapy FROM part")
 def x03(spark, d):
     t = F.col("p_type")
-    return load(spark, d, "part").select("p_partkey", F.when(t.contains("STEEL"), F.lit(True)).when(t.contains("BRASS"), F.lit(False)).alias("phototherapy"))
+    return load(spark, d, "part").select("p_partkey", F.when(t.contains("LARGE"), F.lit(True)).when(t.contains("PROMO"), F.lit(False)).alias("phototherapy"))
 
 
 @query("x04_overrides", "SELECT s_suppkey, CASE WHEN n_nationkey < 5 AND s_suppkey % 2 = 0 THEN n_name ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -174,12 +174,21 @@ def m10(spark, d):
     return many.select(F.concat_ws(":", F.lit("control"), "l_orderkey", "l_returnflag").alias("unit_key")).distinct()
 
 
-@query("m17_mechanism_gate", "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'too short' WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'unresolved' END AS problem FROM documents WHERE n_chars < 300 OR doc_id NOT IN (SELECT doc_id FROM labels)")
+_PROBLEMS = ("title is empty", "the test cannot fail", "pubmed:none is not in the corpus", "malformed citation x", "the seal does not match", "the status needs a seal", "pubmed:mouse is mouse and cannot carry perturbation_in_human")
+
+
+@query("m17_mechanism_gate", f"SELECT 'm-' || p_partkey AS id, {list(_PROBLEMS)}[p_partkey % 9] AS problem FROM part WHERE p_partkey % 9 BETWEEN 1 AND 7 UNION ALL SELECT 'm-' || p_partkey, 'id must be kebab-case' FROM part WHERE p_partkey < 0")
 def m17(spark, d):
-    known = load(spark, d, "labels").select("doc_id", F.lit(True).alias("known")).dropDuplicates(["doc_id"])
-    rows = load(spark, d, "documents").select("doc_id", "n_chars").join(known, "doc_id", "left")
-    problem = text.first_of({"too short": F.col("n_chars") < 300, "unresolved": F.col("known").isNull()})
-    return rows.select("doc_id", problem.alias("problem")).where("problem IS NOT NULL")
+    k, lit = F.col("p_partkey") % 9, F.lit
+    ref = F.when(k == 3, "pubmed:none").when(k == 4, "x").when(k == 7, "pubmed:mouse").otherwise("pubmed:1")
+    test = F.struct(*[F.when(k == 2, lit("same")).otherwise(lit(c)).alias(c) for c in mechanisms.TEST], lit(False).alias("needs_new_data"), lit(None).cast("string").alias("new_data"))
+    claims = [F.when((k == 1) & lit(c == "title"), lit(" ")).otherwise(F.concat(lit(c), "p_name")).alias(c) for c in mechanisms.CLAIMS]
+    evidence_of = F.array(F.struct(ref.alias("ref"), lit("supports").alias("stance"), lit("perturbation_in_human").alias("causal_level"), lit("it").alias("shows")))
+    rival = F.array(F.struct(lit("e").alias("explanation"), lit("d").alias("distinguished_by")))
+    rows = load(spark, d, "part").select(F.concat(lit("m-"), "p_partkey").alias("id"), F.when(k == 6, "sealed").otherwise("draft").alias("status"), *claims, F.struct(*[lit(c).alias(c) for c in mechanisms.CONTEXT]).alias("context"), test.alias("test"), evidence_of.alias("evidence"), rival.alias("competing"), lit("2024-02-29").alias("last_reviewed"), "p_partkey")
+    seal = F.when(k == 5, F.struct(lit("0").alias("sha256"))).when(k == 8, F.struct(mechanisms.seal_of().alias("sha256")))
+    held = spark.createDataFrame([("pubmed:1", "rct"), ("pubmed:mouse", "mouse")], "ref string, level string")
+    return mechanisms.problems(rows.withColumn("seal", seal).drop("p_partkey"), ("draft", "sealed"), held, held, {"mouse": ("perturbation_in_human",)})
 
 
 @query("a20_moderated_t")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
-from tessera.operators import discovery, enrichment, graph, ingestion, joins, ranking
+from tessera.operators import discovery, enrichment, ingestion, joins, links, ranking
 from tessera.plans.registry import load, query
 from tessera.sources import html, sinks
 
@@ -142,12 +142,18 @@ def g21(spark, d):
     return enrichment.pair_synergy(l.select("drug", "target"), l.groupBy("drug").agg(F.avg("score").alias("score"))).select("a", "b", "synergy")
 
 
-@query("t10_link_topk", "SELECT vec_id, list_sum(list_transform(list_zip(e.embedding, h.embedding, r.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE * x[3]::DOUBLE)) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) h, (SELECT embedding FROM embeddings WHERE vec_id = 1) r WHERE label % 2 = 0 AND vec_id > 1 ORDER BY score DESC, vec_id LIMIT 10")
+@query("t10_link_topk", """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT (SELECT v FROM e WHERE vec_id = 0) AS h, (SELECT v FROM e WHERE vec_id = 1) AS r), s AS (SELECT vec_id AS node, label % 2 AS kind, list_dot_product(list_transform(list_zip(h, r), lambda x: x[1] * x[2]), v) AS score FROM e, f)
+(SELECT 'forward' AS direction, row_number() OVER (ORDER BY score DESC, node) AS rank, node, score, 1 / (1 + exp(-score)) AS probability FROM s WHERE kind = 0 AND node <> 0 ORDER BY rank LIMIT 10)
+UNION ALL (SELECT 'reverse', row_number() OVER (ORDER BY score DESC, node), node, score, 1 / (1 + exp(-score)) FROM s WHERE node <> 0 ORDER BY 2 LIMIT 15) UNION ALL SELECT 'triple', 1, node, score, 1 / (1 + exp(-score)) FROM s WHERE node = 5""")
 def t10(spark, d):
     e = load(spark, d, "embeddings")
     fixed = {r.vec_id: F.array(*[F.lit(float(x)) for x in r.embedding]) for r in e.where("vec_id IN (0, 1)").collect()}  # two vectors
-    tail = F.col("embedding").cast("array<double>")
-    return e.where("label % 2 = 0 AND vec_id > 1").select("vec_id", graph.distmult_score(fixed[0], fixed[1], tail).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    nodes = e.select(F.col("vec_id").alias("node"), (F.col("label") % 2).alias("kind"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = links.distmult_query(fixed[0], fixed[1])
+    modes = {"forward": links.top_links(nodes, asked, 10, kind=0, but=(0,)), "reverse": links.top_links(nodes, asked, 15, but=(0,)), "triple": links.top_links(nodes.where("node = 5"), asked, 1)}
+    parts = [df.select(F.lit(name).alias("direction"), "rank", "node", "score", "probability") for name, df in modes.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("m01_exclusion_reasons", """

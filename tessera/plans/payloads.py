@@ -236,14 +236,14 @@ def src17b(spark, d):
     return knowledge.target_priors(spark, pages(load(spark, d, "supplier"), "s_suppkey", row, page)).select("source_id", "name", "score")
 
 
-_DRUGBANK = "SELECT 'DB' || (10000000 + p_partkey) AS id, p_name AS name, p_type, 'T' || p_size AS target FROM part WHERE p_type LIKE '%STEEL%' OR p_partkey IN (SELECT s_suppkey FROM supplier)"
+_DRUGBANK = "SELECT 'DB' || (10000000 + p_partkey) AS id, p_name AS name, p_type, 'T' || p_size AS target FROM part WHERE p_type LIKE '%LARGE%' OR p_partkey IN (SELECT s_suppkey FROM supplier)"
 
 
 def _drugs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = (F.col("p_partkey") + 10000000).cast("string")
     record = F.concat(F.lit("<drug type='x'><drugbank-id primary='true'>DB"), key, F.lit("</drugbank-id>"), tag("name", F.concat(F.lit("Drug "), key)), tag("description", F.col("p_type")), tag("targets", tag("target", tag("name", F.concat(F.lit("T"), "p_size")))), F.lit("</drug>"))
     seeds = load(spark, d, "supplier").select(F.concat(F.lit(" DRUG "), (F.col("s_suppkey") + 10000000).cast("string")).alias("name"))
-    return knowledge.drug_records(spark, files(load(spark, d, "part"), record), "Steel", seeds)
+    return knowledge.drug_records(spark, files(load(spark, d, "part"), record), "Large", seeds)
 
 
 @query("src18_drug_records", f"SELECT id AS source_id, p_type AS description FROM ({_DRUGBANK})")
@@ -256,13 +256,13 @@ def src18b(spark, d):
     return _drugs(spark, d)[1]
 
 
-@query("src19_associations", "SELECT DISTINCT 'S' || p_size || ':rs' || p_partkey AS source_id, p_brand AS mapped_gene, p_size * 1e-9 AS p_value FROM part WHERE p_type LIKE '%BRASS%'")
+@query("src19_associations", "SELECT DISTINCT 'S' || p_size || ':rs' || p_partkey AS source_id, p_brand AS mapped_gene, p_size * 1e-9 AS p_value FROM part WHERE p_type LIKE '%PROMO%'")
 def src19(spark, d):
     p = load(spark, d, "part")
     t = p.select(F.concat(F.lit("S"), "p_size").alias("STUDY ACCESSION"), F.concat(F.lit("rs"), "p_partkey").alias("SNPS"), F.col("p_type").alias("DISEASE/TRAIT"), F.lit("x").alias("MAPPED_TRAIT"), F.col("p_brand").alias("MAPPED_GENE"), (F.col("p_size") * 1e-9).cast("string").alias("P-VALUE"), F.lit("1.2").alias("OR or BETA"))
     name = folder(spark)
     t.union(t.where("`OR or BETA` = '1.2'")).write.options(header=True, sep="\t").csv(name)
-    return knowledge.associations(spark, name, "brass").select("source_id", "mapped_gene", "p_value")
+    return knowledge.associations(spark, name, "promo").select("source_id", "mapped_gene", "p_value")
 
 
 @query("src20_projects", "SELECT c_custkey::VARCHAR AS source_id, c_name AS title, (2000 + c_nationkey)::INTEGER AS fiscal_year, (c_custkey * 10)::INTEGER AS award_amount, c_mktsegment AS organization, ['PI ' || c_nationkey] AS investigators FROM customer")
