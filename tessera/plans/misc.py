@@ -160,7 +160,13 @@ def m06(spark, d):
     return g.select("l_suppkey", "l_returnflag", stats.covers(stats.bounds(F.col("r"), F.col("n"), F.col("grp")), F.lit(40.0)).alias("inside"))
 
 
-@query("m08_superiority_e")
+_LL = "{r} * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + ({n} - {r}) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12))"
+_NULL = " + ".join(_LL.format(r=f"r{x}", n=f"n{x}", p="CASE WHEN ra / na <= rc / nc THEN r{0} / n{0} ELSE (ra + rc) / (na + nc) END".format(x)) for x in "ac")
+
+
+@query("m08_superiority_e", f"""
+WITH g AS (SELECT l_suppkey, (count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 25))::DOUBLE AS ra, (count(*) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS na, (count(*) FILTER (WHERE l_returnflag <> 'R' AND l_quantity > 25))::DOUBLE AS rc, (count(*) FILTER (WHERE l_returnflag <> 'R'))::DOUBLE AS nc FROM lineitem GROUP BY 1)
+SELECT l_suppkey, {_LL.format(r="ra", n="na", p="0.55")} + {_LL.format(r="rc", n="nc", p="0.45")} - ({_NULL}) AS log_e FROM g""")
 def m08(spark, d):
     g = load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25)).alias("ra"), F.count_if(F.col("l_returnflag") == "R").alias("na"), F.count_if((F.col("l_returnflag") != "R") & (F.col("l_quantity") > 25)).alias("rc"), F.count_if(F.col("l_returnflag") != "R").alias("nc"))
     return g.select("l_suppkey", statistics.superiority_log_e("ra", "na", "rc", "nc", F.lit(0.55), F.lit(0.45)).alias("log_e"))
@@ -250,12 +256,15 @@ def c26(spark, d):
     return load(spark, d, "supplier").select("s_suppkey", udfs.numbers_in(F.concat(F.lit("In "), "s_suppkey", F.lit(" of twenty-three or one hundred and five"))).alias("numbers"))
 
 
-@query("c31_sentence_at")
+@query("c31_sentence_at", r"""
+WITH p AS (SELECT doc_id, text, regexp_replace(left(text, 40), '(?s)^.*[.!?]\s+', '') AS head, substr(text, 41) AS rest FROM documents)
+SELECT doc_id, CASE WHEN len(text) > 40 THEN trim(head || CASE WHEN regexp_matches(rest, '(?s)[.!?](\s|$)') THEN regexp_extract(rest, '(?s)^(.*?[.!?])(?:\s|$)', 1) ELSE rest END, ' ' || chr(9) || chr(10) || chr(13)) END AS sentence FROM p""")
 def c31(spark, d):
     return load(spark, d, "documents").select("doc_id", udfs.sentence_at("text", F.lit(40)).alias("sentence"))
 
 
-@query("j18_lexicon_annotation")
+@query("j18_lexicon_annotation", r"""
+SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), '  ') || ' ', ' (the  and|and  the|of  the|que  la|the) ')) AS n FROM documents""")
 def j18(spark, d):
     lexicon = F.array(*[F.lit(x) for x in ("the and", "the", "and the", "of the", "que la")])
     return load(spark, d, "documents").select("doc_id", F.size(udfs.longest_terms("text", lexicon)).alias("n"))

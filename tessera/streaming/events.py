@@ -56,21 +56,26 @@ def limited(times: list[float], recent: list[float], most: int, window: float) -
 
 
 def rate_limited(events: DataFrame, most: int = 30, seconds: float = 60.0) -> DataFrame:
-    """Rows (user_id, event_id, allowed) of a batch: the limiter's fold over each user's events.
+    """Rows (user_id, event_id, allowed) of a batch: the limiter's fold along each user's events.
 
-    The state is at most ``most`` times, so the fold is over an array of one user's events.
+    Users are sorted apart and their events streamed in order, so a task holds a batch and
+    the at most ``most`` times that still count, however many events a user has.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")))
-    state = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc, x):
-        recent = F.filter(acc["recent"], lambda r: x["t"] - r < int(seconds * 1_000_000))
-        ok = F.size(recent) < most
-        kept = F.when(ok, F.concat(recent, F.array(x["t"]))).otherwise(recent)
-        return F.struct(kept.alias("recent"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("allowed")))).alias("out"))
-
-    folded = events.groupBy("user_id").agg(F.aggregate(rows, state, step, lambda a: a["out"]).alias("out"))
-    return folded.select("user_id", F.explode("out").alias("x")).select("user_id", "x.event_id", "x.allowed")
+    rows = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, recent = None, []
+        for batch in batches:
+            out = []
+            for key, part in batch.groupby("user_id", sort=False, dropna=False):
+                same = key == user or (key != key and user != user)
+                allowed, recent = limited(part["t"].tolist(), recent if same else [], most, seconds)
+                user = key
+                out.append(pd.DataFrame({"user_id": part["user_id"], "event_id": part["event_id"], "allowed": allowed}))
+            if out:
+                yield pd.concat(out)
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, ALLOWED)
 
 
 def rate_limited_stream(events: DataFrame, most: int = 30, seconds: float = 60.0) -> DataFrame:

@@ -251,3 +251,105 @@ def test_reported_rows_carry_their_own_control(spark):
     rows = [("t1", "a", "F75", None, "rux", 1.5, 200, 30.0, "active", 24, "PRIMARY", 1), ("t1", "c", "F75", None, None, None, 100, 8.0, "placebo", 24, "PRIMARY", 2), ("t2", "a", "F75", None, "rux", 1.5, 150, 31.0, "active", 24, "PRIMARY", 3)]
     r = evidence.reported_with_comparator(spark.createDataFrame(rows, cols)).first()
     assert (r.source_id, r.difference, [o.source_id for o in r.others]) == ("t1", 22.0, ["t2"])
+
+
+def test_rate_limiter_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), i, rng.randrange(400)) for i in range(600)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = {}
+    for user in {r[0] for r in rows}:
+        passed = []
+        for t, e in sorted((t, e) for u, e, t in rows if u == user):
+            want[e] = sum(t - p < 20 for p in passed) < 2
+            passed += [t] * want[e]
+    assert {r.event_id: r.allowed for r in events.rate_limited(df, 2, 20.0).collect()} == want
+
+
+def test_tail_shape_and_bootstrap(spark):
+    import numpy as np
+
+    u = (np.arange(20000) + 0.5) / 20000
+    for k in (-0.3, 0.2, 0.5):
+        assert statistics.pareto_k(((1 - u) ** -k - 1) / k, 0.2) == pytest.approx(k, abs=0.05)
+    rng = np.random.default_rng(2)
+    rows = [(c, float(v)) for c in range(60) for v in rng.normal(rng.normal(10, 2), 1, 5)]
+    means = np.array([np.mean([v for x, v in rows if x == c]) for c in range(60)])
+    r = statistics.bootstrap_by_cluster(spark.createDataFrame(rows, "c int, v double"), "c", "v", 400).first()
+    error = means.std(ddof=1) / 60**0.5
+    assert r["mean"] == pytest.approx(means.mean(), abs=0.3 * error) and (r.hi - r.lo) / 3.92 == pytest.approx(error, rel=0.25)
+
+
+def test_moderated_by_its_equations(spark):
+    """The fitted prior against the two moment equations, with derivatives of the log-gamma function taken numerically."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    df, d0, s0 = 8, 6.0, 0.7
+    s2 = s0 * d0 / rng.chisquare(d0, 4000) * rng.chisquare(df, 4000) / df
+    rows = spark.createDataFrame([(float(c), float(s)) for c, s in zip(rng.normal(0, 1, 4000), s2)], "coef double, s2 double")
+    got = statistics.moderated(rows, "coef", "s2", df, 0.5).toPandas()
+    first = lambda x, h=1e-5: (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+    second = lambda x, h=1e-3: (math.lgamma(x + h) - 2 * math.lgamma(x) + math.lgamma(x - h)) / h**2
+    e = np.log(got.s2) - first(df / 2) + math.log(df / 2)
+    post = (got.coef / (got.t * 0.5)) ** 2  # (d0 s0 + df s2) / (d0 + df)
+    slope, level = np.polyfit(got.s2, post, 1)
+    fitted = df / slope - df
+    assert second(fitted / 2) == pytest.approx(e.var(ddof=1) - second(df / 2), rel=1e-3)
+    assert level * (fitted + df) / fitted == pytest.approx(math.exp(e.mean() + first(fitted / 2) - math.log(fitted / 2)), rel=1e-3)
+    assert fitted == pytest.approx(d0, rel=0.3)
+    t, p = got.t.iloc[0], got.p.iloc[0]
+    grid = np.linspace(-abs(t), abs(t), 20001)
+    nu = fitted + df
+    density = np.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi) * (1 + grid**2 / nu) ** (-(nu + 1) / 2)
+    assert p == pytest.approx(1 - np.trapezoid(density, grid), abs=1e-3)
+
+
+def test_passages_by_brute_force():
+    """Units as paragraphs or cuts, joined while they fit, from the definition."""
+    import re
+
+    rng = __import__("random").Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["Word", "longer words here", ". Next", "! (Then", "\n\n", " \n \n", " ", "xyz"]) + rng.choice(["", " "]) for _ in range(rng.randrange(60)))
+        target, overlap, least = 60, 15, 8
+        expected = []
+        pieces = []
+        for m in re.finditer(r"(?s)(.+?)(?:\n\s*\n|$)", text):
+            a, b = m.start(1) + len(m[1]) - len(m[1].lstrip()), m.end(1) - (len(m[1]) - len(m[1].rstrip()))
+            while b - a > target:
+                ends = [x.start() for x in re.finditer(r"(?<=[.!?])\s+(?=[A-Z0-9(\[])", text) if a < x.start() < a + target]
+                cut = max(ends, default=a + target)
+                pieces.append((a, cut))
+                a = cut + len(text[cut:b]) - len(text[cut:b].lstrip())
+            if a < b:
+                pieces.append((a, b))
+        begin = last = None
+        for a, b in pieces:
+            if begin is not None and b - begin > target:
+                expected.append((begin, last))
+                words = [x.start() for x in re.finditer(r"\S+", text) if max(begin, last - overlap) < x.start() < last]
+                begin = words[0] if words else a
+            begin, last = a if begin is None else begin, b
+        if begin is not None:
+            expected.append((begin, last))
+        expected = [(a + len(text[a:b]) - len(text[a:b].lstrip()), b - (len(text[a:b]) - len(text[a:b].rstrip()))) for a, b in expected]
+        kept = [x for x in expected if x[1] - x[0] >= least] or expected[:1]
+        assert [(p.start, p.end) for p in passages.passages(text, target, overlap, least)] == kept
+
+
+def test_combinations_take_each_name_twice(spark):
+    from tessera.operators import links
+
+    left = spark.createDataFrame([(i, f"l{i}", "jak", 1.0 - i / 100) for i in range(12)], "drug long, name string, class string, score double")
+    right = spark.createDataFrame([(100 + i, f"r{i}" if i else "l0", "jak" if i == 1 else "pde", 0.9 - i / 50) for i in range(12)], "drug long, name string, class string, score double")
+    got = links.combinations(left, right, 5, 2).collect()
+    pairs = sorted(((-(a.score + b.score) / 2, a.drug, b.drug, a.name, b.name) for a in left.collect()[:5] for b in right.collect()[:5] if a.name != b.name and a["class"] != b["class"]))
+    used, want = {}, []
+    for s, a, b, x, y in pairs:
+        if used.get(("l", x), 0) < 2 and used.get(("r", y), 0) < 2:
+            used["l", x], used["r", y] = used.get(("l", x), 0) + 1, used.get(("r", y), 0) + 1
+            want.append((a, b))
+    assert [(r.l_drug, r.r_drug) for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1))
