@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.lineage import reliable
 
 
 def contains_any(columns: list[str], term: str) -> Column:
@@ -54,11 +55,11 @@ def at_word_start(text: Column, token: str) -> Column:
 def relevance(df: DataFrame, key: str, text: str, tokens: list[str], weight: Column | None = None) -> DataFrame:
     """Rows (key, tokens, relevance): tokens matched at word starts, weighted by smoothed inverse document frequency among the matches.
 
-    Two scans and no shuffle of rows: one counts each token's documents, one adds up the weights.
+    Texts are matched once: what each row found is stored, a bit a token, then counted and weighed.
     """
     lowered = df.select(key, F.lower(text).alias("t"), (weight if weight is not None else F.lit(1.0)).alias("w"))
     rows = lowered.select(key, "w", F.array(*[at_word_start(F.col("t"), t) for t in tokens]).alias("found"))
-    hits = rows.where(F.exists("found", lambda x: x))
+    hits = reliable(rows.where(F.exists("found", lambda x: x)))
     counts = hits.agg(F.struct(F.count("*").alias("n"), F.array(*[F.count_if(F.col("found")[i]) for i in range(len(tokens))]).alias("df")))
     scored = hits.withColumn("s", counts.scalar())
     idf = lambda i: F.log((F.col("s.n") + 1.0) / (F.col("s.df")[i] + 1.0)) + 1

@@ -17,7 +17,7 @@ def scored(spark, d):
     """Embeddings scored against vector 0 (one row, read on its own)."""
     e = load(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 0").select("embedding").first()[0]]
-    return e.where("vec_id <> 0").select("vec_id", "label", vector.dot(F.col("embedding"), vector.literal(q)).alias("raw"))
+    return e.where("vec_id <> 0").select("vec_id", "label", vector.scores(F.col("embedding"), q).alias("raw"))
 
 
 _SCORED = "SELECT e.vec_id, e.label, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS raw FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0"
