@@ -164,16 +164,22 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are not all of one component."""
-    apart = rows.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
-    return rows.join(apart.select("key"), "key", "left_semi")
+    """A table of the rows of buckets whose members are not all of one component."""
+    rows = reliable(rows)
+    apart = reliable(rows.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key"))
+    out = reliable(rows.join(apart, "key", "left_semi"))
+    release(rows, apart)
+    return out
 
 
 def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Rows (node, label) for the classes that have links, None if no two classes meet."""
     rows = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    # What is said of a bucket is stored before it meets its members: a small table is then sent
+    # to them, and a large bucket stays dealt over the tasks that read it.
+    often = reliable(rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"))
     multi = reliable(rows.join(often, "key"))
+    release(often)
     if multi.isEmpty():
         release(multi)
         return None
@@ -182,23 +188,24 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     sets = reliable(full_sets(docs, classes.join(fame, "cid", "left_semi").select(F.col("rep").alias("wanted_rep")), k))
     release(multi)
     # First every class meets one leader, the most famous of its buckets: a set moves once.
-    lead = live.groupBy("key").agg(F.max("place").alias("lead"), F.max_by("n_shingles", "place").alias("lead_size"))
+    lead = reliable(live.groupBy("key").agg(F.max("place").alias("lead"), F.max_by("n_shingles", "place").alias("lead_size")))
     below = live.join(lead, "key").where((F.col("place") < F.col("lead")) & similar_sizes("n_shingles", "lead_size", percent))
     tried = reliable(below.groupBy("cid").agg(F.max("lead").alias("lead")).select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")))
     edges = reliable(verified(tried, sets, percent))
     labels = components(edges)
     # Then each bucket that is still open meets its own leader, who is then done with.
     now = reliable(_labelled(live, labels))
-    lead = now.groupBy("key").agg(F.max("place").alias("lead"), F.max_by(F.struct("n_shingles", "comp"), "place").alias("of"))
+    release(lead)
+    lead = reliable(now.groupBy("key").agg(F.max("place").alias("lead"), F.max_by(F.struct("n_shingles", "comp"), "place").alias("of")))
     below = reliable(now.join(lead, "key").where(F.col("place") < F.col("lead")))
-    release(live, now)
+    release(live, now, lead)
     apart = below.where((F.col("comp") != F.col("of.comp")) & similar_sizes("n_shingles", "of.n_shingles", percent))
     pairs = apart.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = reliable(verified(pairs, sets, percent))
     release(labels)
     labels = components(edges.union(more))
     # What other members of a bucket may share is joined exactly.
-    open_ = reliable(_open(_labelled(below.select("key", "cid"), labels)))
+    open_ = _open(_labelled(below.select("key", "cid"), labels))
     release(below, tried)
     if open_.isEmpty():
         release(open_, edges, more, sets)

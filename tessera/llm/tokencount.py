@@ -7,8 +7,16 @@ a slice are one ragged array of symbols, and every round applies the lowest-rank
 each sequence in all sequences at once, until no pair is left.  The surviving symbols are
 the tokens; a character outside the vocabulary counts once per UTF-8 byte.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are counted each;
-columns other than the identifier and the text are not read.
+Two things are done otherwise for speed, with the same counts.  A sequence of over ``LONG``
+symbols (one "word" of that length) is merged one pair at a time from a heap, by the same rule.
+In a run of over 160 spaces, whole periods are taken out first: merging a run of one symbol
+depends only on its length, and when the model is loaded the counts of all lengths to 159
+are checked to go up by one with every period (if they do not, nothing is taken out).
+
+Defined results: null and empty texts have 0 tokens; of equal ranks the leftmost pair merges;
+repeated rows are counted each; very long texts are counted whole; an empty table gives an
+empty result; columns other than the identifier and the text are not read, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ subdomains).  Where several host/path rules fit, the longest rule decides; where
 fits, a block glob decides; else the URL is allowed.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule
-and verdict ``allow``; repeated rows are judged each.
+and verdict ``allow``; of rules that fit the longest decides, and no two of a length fit one
+URL; repeated rows are judged each; very long URLs are stepped through whole; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -311,3 +311,31 @@ def test_code_switched_words(spark, tables):
     field = langid.train(docs)
     got = langid.word_languages(spark.createDataFrame([(1, "the quiet river under morning der ruhig fluss unter morgen")], "doc_id long, text string"), field).first().words
     assert got[:5] == ["en"] * 5 and got[5:] == ["de"] * 5
+
+
+def test_long_runs_of_spaces_by_the_library(merges):
+    """The period that is taken out of long runs, against the library far beyond the lengths that were checked."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = tokencount.load_merges(public_tokenizers.path("piece_bpe_32k.model"))
+    assert table.period
+    texts = [a + " " * n + b for n in [*range(150, 260), 1000, 1001, 4095, 4096, 4097, 9000, 20011] for a, b in (("", ""), ("x", "y"), ("", "word"))]
+    assert table.count(pa.array(texts)).tolist() == [len(x) for x in sp.encode(texts)]
+
+
+def test_pairs_at_the_threshold_meet():
+    """Sets of similarity 0.8 exactly, over many sizes: the share that meets in a band, and of equal coordinates."""
+    rng = np.random.default_rng(11)
+    met = agree = total = 0
+    for unit in (1, 4, 20, 100):
+        for _ in range(500):
+            pool = rng.choice(1 << 62, 10 * unit, replace=False).astype(np.uint64)
+            a, b = np.sort(pool[: 9 * unit]), np.sort(np.concatenate([pool[: 8 * unit], pool[9 * unit :]]))
+            s = neardup.sketches(np.concatenate([a, b]), np.array([0, 9 * unit, 18 * unit]), neardup.BANDS * neardup.ROWS)
+            keys = neardup.band_keys(s)
+            met += bool((keys[0] == keys[1]).any())
+            agree += (s[0] == s[1]).mean()
+            total += 1
+    assert met >= total - 1 and abs(agree / total - 0.8) < 0.02
