@@ -39,7 +39,7 @@ def test_awkward_rows_stage_by_stage(spark, tmp_path):
     """Repeated rows, null identifiers, one identifier with two texts, ties and clashing columns."""
     from collections import Counter
 
-    from conftest import prose
+    from small_tables import prose
 
     rng = __import__("random").Random(8)
     a, b, c = (prose(rng, "en", 60) for _ in range(3))

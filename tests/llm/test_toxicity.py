@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from conftest import prose
+from small_tables import prose
 
 from tessera.llm import toxicity
 
@@ -53,7 +53,7 @@ def test_scores_are_sums_over_a_texts_features(spark):
 
 
 def test_rows_not_learned_from(spark, tmp_path):
-    from conftest import save
+    from small_tables import save
 
     rng = random.Random(3)
     bad = ["idiot", "moron", "scum", "trash", "clown"]
