@@ -6,9 +6,11 @@ import os
 import shutil
 import subprocess
 import sys
+from pathlib import Path
 
 import __spark_entry__
-from conftest import ROOT
+
+ROOT = Path(__spark_entry__.__file__).resolve().parent
 
 
 def test_entry(spark, sf_dir):
