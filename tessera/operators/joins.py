@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,45 @@ def sets_of_size(pairs: DataFrame, group: str, member: str, members: DataFrame,
     inner = pairs.join(members.select(member).distinct(), member).dropDuplicates([group, member])
     sized = inner.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n").between(least, most)).select(group)
     return inner.join(sized, group)
+
+
+def outcome_rows(forecasts: DataFrame, rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Forecasts (key, trial, dose) with the first posted row of each role that settles them.
+
+    rows has (source_id, study_id, role, dose, ...): a trial is named by either identifier, so
+    two equi-joins meet; an active row must have the forecast's dose, a control has none.
+    """
+    f = forecasts.select("key", "trial", F.col("dose").alias("_dose"))
+    parts = [f.join(rows, f["trial"] == rows[c]).drop("trial") for c in ("source_id", "study_id")]
+    met = parts[0].unionByName(parts[1]).where((F.col("role") == "placebo") | F.col("dose").eqNullSafe(F.col("_dose"))).drop("_dose")
+    w = Window.partitionBy("key", "role").orderBy(*order)
+    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def publications(references: DataFrame, citing: DataFrame) -> DataFrame:
+    """Papers of trials (trial, paper, kind): what the registry refers to, and papers that cite the trial but are not among them."""
+    own = references.select("trial", "paper").distinct().withColumn("kind", F.lit("reference"))
+    more = citing.select("trial", "paper").distinct().join(own.select("trial", "paper"), ["trial", "paper"], "left_anti")
+    return own.unionByName(more.withColumn("kind", F.lit("citing")))
+
+
+def node_index(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names (file, name) with the index of their node: by its symbol, else by an alias; the index 0 is as good as any.
+
+    nodes has (index, symbol, aliases).
+    """
+    key = lambda c: F.upper(F.trim(c))
+    symbol = nodes.select(key(F.col("symbol")).alias("_k"), F.col("index").alias("_s"))
+    alias = nodes.select(F.explode("aliases").alias("_a"), "index").groupBy(key(F.col("_a")).alias("_k")).agg(F.min("index").alias("_b"))
+    return names.withColumn("_k", key(F.col("name"))).join(symbol, "_k", "left").join(alias, "_k", "left").withColumn("index", F.coalesce("_s", "_b")).drop("_k", "_s", "_b")
+
+
+def first_found(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], value: str) -> DataFrame:
+    """Left rows with a right value looked up by one identifier and, where that finds none, by the next.
+
+    on has (kind of the right row, left column); right has (kind, id, value).
+    """
+    out = left
+    for i, (kind, column) in enumerate(on):
+        out = out.join(right.where(F.col("kind") == kind).select(F.col("id").alias(column), F.col(value).alias(f"_v{i}")), column, "left")
+    return out.withColumn(value, F.coalesce(*[F.col(f"_v{i}") for i in range(len(on))])).drop(*[f"_v{i}" for i in range(len(on))])

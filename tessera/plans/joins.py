@@ -110,31 +110,12 @@ def j12(spark, d):
     return load(spark, d, "part").select("p_partkey", F.concat(F.lit("P"), F.col("p_partkey") + 100000).alias("number")).join(own, "number", "left_anti").select("p_partkey")
 
 
-@query("j13_forecast_outcome", """
-WITH f AS (SELECT s_suppkey AS k FROM supplier), o AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT k, l_orderkey, l_linenumber, l_quantity FROM f JOIN o ON k = l_suppkey UNION SELECT k, l_orderkey, l_linenumber, l_quantity FROM f JOIN o ON k = l_partkey)
-SELECT k, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l_orderkey, l_linenumber) AS n FROM m) WHERE n = 1""")
-def j13(spark, d):
-    f = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    o = load(spark, d, "lineitem").where("l_returnflag = 'R'")
-    cols = ["l_orderkey", "l_linenumber", "l_quantity"]
-    m = f.join(o.select(F.col("l_suppkey").alias("k"), *cols), "k").union(f.join(o.select(F.col("l_partkey").alias("k"), *cols), "k"))
-    return m.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber"))).where("n = 1").drop("n")
-
-
 @query("j14_tests_with_hypotheses", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
 def j14(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return load(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_name", "o_totalprice").orderBy("o_orderkey")
 
 
-@query("j15_publications_union", """
-WITH refs AS (SELECT l_orderkey AS trial, l_partkey AS ref, 0 AS prio FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey, 1 FROM lineitem WHERE l_linenumber <= 2) SELECT trial, ref, min(prio) AS prio FROM refs GROUP BY 1, 2""")
-def j15(spark, d):
-    l = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("trial"), F.col("l_partkey").alias("ref"), "l_linenumber")
-    u = l.where("l_linenumber = 1").withColumn("prio", F.lit(0)).unionByName(l.where("l_linenumber <= 2").withColumn("prio", F.lit(1)))
-    return u.groupBy("trial", "ref").agg(F.min("prio").alias("prio"))
-
-
 @query("j16_unregistered", "SELECT doc_id FROM documents WHERE doc_id % 10 NOT IN (3, 4) AND doc_id % 15 NOT IN (3, 4)")
 def j16(spark, d):
     docs = load(spark, d, "documents").select("doc_id")
@@ -142,14 +123,6 @@ def j16(spark, d):
     return joins.not_registered(docs, held, "doc_id", F.array(F.col("doc_id") % 10, F.col("doc_id") % 15))
 
 
-@query("j17_index_lookup", "SELECT n_name, coalesce(a.s_suppkey, b.s_suppkey) AS idx FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) a ON n_nationkey = a.s_nationkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) b ON n_nationkey = b.s_nationkey")
-def j17(spark, d):
-    # coalesce, not "or": index 0 is an index.
-    s = load(spark, d, "supplier")
-    first = lambda f, n: f.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias(n))
-    return load(spark, d, "nation").join(first(s.where("s_acctbal > 5000"), "a"), "n_nationkey", "left").join(first(s, "b"), "n_nationkey", "left").select("n_name", F.coalesce("a", "b").alias("idx"))
-
-
 @query("j20_tolerance", """
 WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 1) SELECT o_orderkey FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.o_custkey = b.o_custkey AND abs(a.o_totalprice - b.o_totalprice) <= 5000)""")
 def j20(spark, d):
@@ -157,14 +130,6 @@ def j20(spark, d):
     return joins.within_tolerance(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_totalprice", "o_totalprice", 5000.0, ["o_custkey"]).select("o_orderkey")
 
 
-@query("j22_two_lookups", "SELECT c_custkey, coalesce(a.o, b.o) AS ref FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o FROM orders GROUP BY 1) b ON b.o_custkey = c_custkey")
-def j22(spark, d):
-    o = load(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    a = o.where("o_orderstatus = 'F'").groupBy("c_custkey").agg(F.min("o_orderkey").alias("a"))
-    b = o.groupBy("c_custkey").agg(F.max("o_orderkey").alias("b"))
-    return load(spark, d, "customer").select("c_custkey").join(a, "c_custkey", "left").join(b, "c_custkey", "left").select("c_custkey", F.coalesce("a", "b").alias("ref"))
-
-
 @query("j23_central_precedence", "SELECT l_orderkey, l_linenumber FROM lineitem a WHERE l_linestatus = 'F' OR NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_returnflag = a.l_returnflag AND b.l_linestatus = 'F')")
 def j23(spark, d):
     rows = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")

@@ -172,14 +172,6 @@ def m08(spark, d):
     return g.select("l_suppkey", statistics.superiority_log_e("ra", "na", "rc", "nc", F.lit(0.55), F.lit(0.45)).alias("log_e"))
 
 
-@query("m10_evidence_units", "SELECT DISTINCT 'control:' || l_orderkey || ':' || l_returnflag AS unit_key FROM lineitem a WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linestatus = 'F' AND b.l_linenumber <> a.l_linenumber)")
-def m10(spark, d):
-    l = load(spark, d, "lineitem").where("l_linestatus = 'F'").select("l_orderkey", "l_linenumber", "l_returnflag")
-    w = Window.partitionBy("l_orderkey")
-    many = l.withColumns({"a": F.min("l_linenumber").over(w), "b": F.max("l_linenumber").over(w)}).where("a <> b")
-    return many.select(F.concat_ws(":", F.lit("control"), "l_orderkey", "l_returnflag").alias("unit_key")).distinct()
-
-
 _PROBLEMS = ("title is empty", "the test cannot fail", "pubmed:none is not in the corpus", "malformed citation x", "the seal does not match", "the status needs a seal", "pubmed:mouse is mouse and cannot carry perturbation_in_human")
 
 

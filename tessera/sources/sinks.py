@@ -161,3 +161,28 @@ def seal_json(record: dict) -> tuple[str, str]:
 
     body = canonical({k: v for k, v in record.items() if k != "sha256"})
     return body, hashlib.sha256(body.encode()).hexdigest()
+
+
+def ingest_kept(store: Store, table: str, rows: DataFrame, rules: dict[str, Column], source: str, query: str) -> tuple[dict, DataFrame]:
+    """Ingest the rows that pass all rules; what each rule, the first that fails, left out: (run, rows (reason, n))."""
+    failed = F.coalesce(*[F.when(~F.coalesce(keep, F.lit(False)), F.lit(name)) for name, keep in rules.items()])
+    told = rows.withColumn("_reason", failed)
+    run = store.ingest(table, told.where("_reason IS NULL").drop("_reason"), source, query)
+    return run, told.where("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+class IndexCache:
+    """Vectors of a store by (model, scope), kept in memory for as long as their table's version is the current one."""
+
+    def __init__(self, store: Store) -> None:
+        self.store, self._held = store, {}
+
+    def get(self, model: str, scope: str) -> DataFrame:
+        version = self.store.version("embeddings")
+        held = self._held.get((model, scope))
+        if held is None or held[0] != version:
+            if held is not None:
+                held[1].unpersist()
+            vectors = self.store.read("embeddings").where((F.col("model") == model) & (F.col("scope") == scope)).select("document_id", "vector")
+            self._held[model, scope] = (version, vectors.cache())
+        return self._held[model, scope][1]
