@@ -60,11 +60,6 @@ def a07(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), F.col(t).alias("n")) for t in topics])).alias("x")).select("x.*")
 
 
-@query("a08_agent_summary", "SELECT s_nationkey, count(DISTINCT s_suppkey) AS studies, max(s_acctbal) AS best, arg_max(s_name, s_acctbal) AS best_name, list_sort(list(DISTINCT s_name)) AS names FROM supplier GROUP BY 1")
-def a08(spark, d):
-    return load(spark, d, "supplier").groupBy("s_nationkey").agg(F.countDistinct("s_suppkey").alias("studies"), F.max("s_acctbal").alias("best"), F.max_by("s_name", F.struct("s_acctbal", "s_suppkey")).alias("best_name"), F.sort_array(F.collect_set("s_name")).alias("names"))
-
-
 @query("a09_papers_per_agent", "SELECT lang, count(DISTINCT text) AS papers, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def a09(spark, d):
     return load(spark, d, "documents").groupBy("lang").agg(F.countDistinct(F.sha2("text", 256)).alias("papers"), F.min("doc_id").alias("first_doc"))

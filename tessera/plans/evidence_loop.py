@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.passages import Marks, sections
-from tessera.operators import discovery, embedding, enrichment, joins
+from tessera.operators import aggregates, discovery, embedding, enrichment, joins
 from tessera.plans.payloads import folder
 from tessera.plans.registry import load, query
 from tessera.sources import common, sinks
@@ -101,11 +101,11 @@ def g09b(spark, d):
     return enrichment.mechanism_edges(p)
 
 
-@query("g12_vocabulary_reading", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ['B', 'A'] WHEN 1 THEN ['AB'] ELSE ['A'] END AS concepts FROM supplier WHERE s_suppkey % 4 < 3")
+@query("g12_vocabulary_reading", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN ['B', 'A'] WHEN 1 THEN ['AB'] ELSE ['A'] END AS concepts FROM supplier WHERE s_suppkey % 5 < 3")
 def g12(spark, d):
-    text = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'Beta + alpha one!' WHEN 1 THEN 'alpha one beta' WHEN 2 THEN 'the Alpha One' ELSE 'alpha one in a long line of words' END")
+    text = F.expr("CASE s_suppkey % 5 WHEN 0 THEN 'Beta + alpha one!' WHEN 1 THEN 'alpha one beta 1.5%' WHEN 2 THEN 'the Alpha One 20 mg cream' WHEN 3 THEN 'alpha one or beta' ELSE 'alpha one in a long line of words' END")
     vocabulary = spark.createDataFrame([("Alpha One", "A"), ("beta", "B"), ("alpha one  beta", "AB"), ("one", "C")], "name string, concept string")
-    return enrichment.vocabulary_reading(load(spark, d, "supplier").select("s_suppkey", text.alias("t")), vocabulary, "s_suppkey", "t")
+    return enrichment.vocabulary_reading(load(spark, d, "supplier").select("s_suppkey", text.alias("t")), vocabulary, "s_suppkey", "t", ignored=("mg", "cream"))
 
 
 @query("g16_directed_relations", "SELECT 'K' || s_suppkey AS subject, CASE WHEN s_suppkey % 3 = 0 THEN 'inhibits' ELSE 'activates' END AS predicate, 'T' || s_nationkey AS object FROM supplier WHERE s_suppkey % 3 < 2")
@@ -199,3 +199,41 @@ def x10(spark, d):
     rows = common.conform(s.select(F.lit("euctr").alias("source"), F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_nationkey").alias("year"), F.col("s_acctbal").cast("string").alias("abstract"), F.col("s_name").alias("title")), "documents")
     run, left = sinks.ingest_kept(sinks.Store(spark, folder(spark)), "documents", rows, {"other topic": F.col("year") % 3 > 0, "no balance": F.col("abstract").cast("double") > 0}, "euctr", "q")
     return left.union(spark.createDataFrame([("kept", run["inserted"])], "reason string, n long"))
+
+
+@query("a08_agent_record", """
+WITH r AS (SELECT l_partkey % 12 AS agent, 'S' || (l_orderkey % 50) AS study, CASE WHEN l_linenumber = 1 THEN 'S' || (l_orderkey % 50) ELSE 'R' || l_orderkey END AS sid, l_returnflag AS status, CASE l_linenumber % 3 WHEN 0 THEN 'PHASE_3' WHEN 1 THEN 'PHASE_2' END AS stage, CASE WHEN l_linestatus = 'F' THEN 'oral' ELSE 'topical' END AS route, CASE WHEN l_suppkey % 2 = 0 THEN 'Sp ' || (l_suppkey % 8) || ', Inc.' ELSE 'SP ' || (l_suppkey % 8) END AS sponsor, l_orderkey * 10 + l_linenumber AS o, l_quantity > 49 AS posted FROM lineitem),
+st AS (SELECT agent, study, coalesce(max(CASE WHEN sid = study THEN status END), 'UNKNOWN') AS status, bool_or(posted) AS posted FROM r GROUP BY 1, 2), c AS (SELECT agent, status, count(*) AS n FROM st GROUP BY 1, 2), cs AS (SELECT agent, list(status || ':' || n ORDER BY n DESC, status) AS statuses FROM c GROUP BY 1), sp AS (SELECT agent, min(struct_pack(o := o, s := sponsor)) AS m FROM r GROUP BY agent, lower(regexp_extract(sponsor, '(?i)sp [0-9]'))), sl AS (SELECT agent, list(m.s ORDER BY m.o) AS sponsors FROM sp GROUP BY 1)
+SELECT agent, count(*) AS records, max(stage) AS max_stage, list_sort(list(DISTINCT route)) AS routes, (SELECT count(*) FROM st WHERE st.agent = r.agent) AS studies, (SELECT count(*) FROM st WHERE st.agent = r.agent AND posted) AS with_results, any_value(statuses) AS statuses, any_value(sponsors) AS sponsors FROM r JOIN cs USING (agent) JOIN sl USING (agent) GROUP BY agent""")
+def a08(spark, d):
+    l = load(spark, d, "lineitem")
+    study = F.concat(F.lit("S"), (F.col("l_orderkey") % 50).cast("string"))
+    rows = l.select(
+        (F.col("l_partkey") % 12).alias("agent"), study.alias("study_id"), F.when(F.col("l_linenumber") == 1, study).otherwise(F.concat(F.lit("R"), "l_orderkey")).alias("source_id"), F.col("l_returnflag").alias("status"),
+        F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'PHASE_3' WHEN 1 THEN 'PHASE_2' END").alias("stage"), F.array(F.when(F.col("l_linestatus") == "F", "oral").otherwise("topical")).alias("routes"),
+        F.expr("CASE WHEN l_suppkey % 2 = 0 THEN concat('Sp ', l_suppkey % 8, ', Inc.') ELSE concat('SP ', l_suppkey % 8) END").alias("sponsor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_quantity") > 49).alias("has_results"),
+    )
+    return aggregates.agent_summary(rows)
+
+
+@query("g11_adverse_edges", """
+WITH u AS (SELECT l_orderkey AS source_id, l_linenumber AS g, min(l_returnflag) AS f, min(l_quantity)::INTEGER % 4 AS a FROM lineitem GROUP BY 1, 2), c AS (SELECT source_id, list(a ORDER BY 'g' || g) AS versus FROM u WHERE f = 'N' GROUP BY 1) SELECT source_id, 'r' || f AS subject, 'rash' AS object, a AS affected, versus FROM u LEFT JOIN c USING (source_id) WHERE f = 'R' AND a > 0""")
+def g11(spark, d):
+    l = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("group_id")).agg(F.min("l_returnflag").alias("f"), (F.min("l_quantity").cast("int") % 4).alias("affected"))
+    events = l.select("source_id", F.lit(0).alias("event_no"), F.lit(" rash ").alias("term"), F.lit(True).alias("serious"), "group_id", "affected", F.lit(50).alias("at_risk"))
+    groups = l.select("source_id", "group_id", F.concat(F.lit("g"), "group_id").alias("title"), F.when(F.col("f") == "N", "placebo").otherwise("active").alias("role"), F.when(F.col("f") == "R", F.lit("rR")).alias("regimen"))
+    return enrichment.adverse_edges(events, groups).select("source_id", "subject", "object", "affected", F.transform("versus", lambda v: v["affected"]).alias("versus"))
+
+
+@query("g11_posted_rows", """
+WITH u AS (SELECT l_orderkey AS source_id, l_linenumber AS g, min(l_returnflag) AS f, min(l_quantity) AS v FROM lineitem GROUP BY 1, 2), c AS (SELECT source_id, list(v ORDER BY 'g' || g) AS versus FROM u WHERE f = 'N' GROUP BY 1) SELECT source_id, 'r' || g AS subject, v AS value, CASE WHEN g % 2 = 0 THEN 10 * g ELSE 99 END AS n, versus FROM u LEFT JOIN c USING (source_id) WHERE f = 'R'""")
+def g11b(spark, d):
+    l = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("group_id")).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").alias("value"))
+    one, none = F.lit(1).alias("measure_no"), F.lit(None).cast("string")
+    cells = l.select("source_id", one, F.lit("Response").alias("title"), F.lit("percent").alias("unit"), F.lit("all").alias("class_title"), none.alias("category"), "group_id", "value")
+    groups = l.select("source_id", "group_id", F.concat(F.lit("g"), "group_id").alias("group_title"), F.when(F.col("f") == "N", "placebo").otherwise("active").alias("role"), F.when(F.col("f") == "R", F.concat(F.lit("r"), "group_id")).alias("regimen"))
+    whole = l.select("source_id", one, none.alias("class_title"), F.lit("Participants").alias("units"), "group_id", F.lit(99).alias("n"))
+    own = l.where("group_id % 2 = 0").select("source_id", one, F.lit("all").alias("class_title"), none.alias("units"), "group_id", (F.col("group_id") * 10).alias("n"))
+    lesions = l.select("source_id", one, F.lit("all").alias("class_title"), F.lit("Lesions").alias("units"), "group_id", F.lit(7).alias("n"))
+    found = enrichment.posted_rows(cells, groups, whole.union(own).union(lesions))
+    return found.select("source_id", "subject", "value", "n", F.transform("versus", lambda v: v["value"]).alias("versus"))
