@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name below the shared folder that is deleted when the session ends, if not before."""
+    name = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete files or folders of the shared folder."""
     for name in paths:
@@ -36,10 +44,8 @@ def reliable(df: DataFrame) -> DataFrame:
     The table goes with ``release`` or with the session.
     """
     spark = df.sparkSession
-    name = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    name = new_folder(spark, "table")
     df.write.parquet(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(name)
     out._kept_at = name
     return out

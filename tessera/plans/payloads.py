@@ -6,12 +6,10 @@ whole table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import shared_folder
+from tessera.operators.lineage import new_folder
 from tessera.plans.registry import load, query
 from tessera.sources import common, knowledge, literature, registries, sinks
 
@@ -20,10 +18,7 @@ PAGE = 200
 
 def folder(spark: SparkSession) -> str:
     """A new folder for payloads, deleted with the session."""
-    name = f"{shared_folder(spark)}/payload-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return name
+    return new_folder(spark, "payload")
 
 
 def files(rows: DataFrame, content: Column) -> str:
