@@ -22,7 +22,6 @@ the input beyond those of ``documents`` are dropped by stage 1, whatever their n
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +32,7 @@ from tessera.llm.langid import fold_of, identify, train
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.mixing import mix, words_taken
 from tessera.llm.neardup import drop_near_duplicates
-from tessera.operators.lineage import remove, shared_folder
+from tessera.operators.lineage import new_folder, remove
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
@@ -81,7 +80,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
