@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-COMMANDS = ("stats", "trials", "trial-stats", "relevant-trials", "search", "graph-stats", "graph-search", "neighbours", "export")
+COMMANDS = ("stats", "trials", "trial-stats", "relevant-trials", "search", "graph-stats", "graph-search", "neighbours", "candidates", "export")
 
 
 def main(argv: list[str] | None = None) -> str:
@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> str:
     frames = {
         "stats": lambda: engine.stats(), "trials": lambda: engine.trials(a.limit, term=a.argument), "trial-stats": lambda: engine.trial_stats(), "relevant-trials": lambda: engine.relevant_trials(a.argument or "", a.limit),
         "search": lambda: engine.search(a.argument or "", hashing_encoder(), a.limit), "graph-stats": lambda: engine.graph_stats(), "graph-search": lambda: engine.graph_search(a.argument or "", a.limit),
-        "neighbours": lambda: engine.neighbours(a.argument or "", a.hops, a.limit), "export": lambda: engine.export(a.limit),
+        "neighbours": lambda: engine.neighbours(a.argument or "", a.hops, a.limit), "candidates": lambda: engine.candidates(a.limit), "export": lambda: engine.export(a.limit),
     }
     return markdown(frames[a.command](), a.limit)
 

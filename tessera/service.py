@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import entity_key
+from tessera.functions.text import drug_token, entity_key, stage_rank, trial_stage
 from tessera.functions.vector import dot, literal
-from tessera.operators import aggregates, graph, search
+from tessera.operators import aggregates, graph, joins, links, scoring, search
 from tessera.operators.embedding import Encoder
-from tessera.operators.evidence import LEVEL_PENALTY, document_level, penalty
+from tessera.operators.evidence import LEVEL_PENALTY, document_level, penalty, reported_with_comparator
 from tessera.operators.ranking import shortlist, top_with_penalty
 from tessera.sources.sinks import Store
 
@@ -76,3 +76,29 @@ class Engine:
 
     def export(self, limit: int = 1000) -> DataFrame:
         return self.store.read("graph_edges").orderBy(F.desc("confidence"), "subject", "predicate", "object").limit(capped("export", limit))
+
+    def candidates(self, limit: int = 20) -> DataFrame:
+        """Drugs by the sum of their components: extracted edges, trials that name them, and documents that mention them."""
+        priors = self.store.read("priors").where("kind = 'drug'").select(drug_token(F.col("name")).alias("token"), "name", stage_rank(F.col("clinical_stage")).alias("rank")).where("token IS NOT NULL")
+        drugs = priors.groupBy("token").agg(F.max_by("name", F.struct("rank", "name")).alias("name"), F.max("rank").alias("stage"))
+        edges = self.store.read("graph_edges").select(drug_token(F.col("subject")).alias("token"), "predicate", "confidence", "extraction_method", F.xxhash64("subject", "predicate", "object").alias("edge_id"))
+        trials = self.store.read("trials").withColumns({"text": F.concat_ws(" ", "brief_title", F.expr("transform(interventions, x -> x.name)")), "id": F.concat_ws(":", "source", "source_id")})
+        named = joins.words_in_texts(drugs, trials, "token", "id", "text").join(trials.select("id", "has_results", "status", stage_rank(trial_stage(F.col("phases"))).alias("rank")), "id")
+        tested = named.groupBy("token").agg(scoring.trial_points(F.coalesce("rank", F.lit(0)), F.coalesce("has_results", F.lit(False)), F.col("status")).alias("trials"))
+        papers = self.store.read("documents").select(F.concat_ws(":", "source", "source_id").alias("id"), F.concat_ws(" ", "title", "abstract").alias("text"))
+        read = joins.words_in_texts(drugs, papers, "token", "id", "text").groupBy("token").agg(scoring.literature_points(F.count("*")).alias("literature"))
+        both = drugs.join(scoring.graph_points(edges, "token"), "token", "left").join(tested, "token", "left").join(read, "token", "left").na.fill(0, ["graph", "trials", "literature"])
+        scored = both.withColumn("score", F.col("graph") + F.col("trials") + F.col("literature")).withColumn("strength", scoring.strength(F.col("score")))
+        return scored.orderBy(F.desc("score"), F.desc("stage"), "token").limit(capped("candidates", limit))
+
+    def evidence(self, rows: DataFrame) -> DataFrame:
+        """The clinical table of result rows: the largest trial of each cell beside its own control."""
+        return reported_with_comparator(rows)
+
+    def predictions(self, nodes: DataFrame, head: str, relation: list[float], top_k: int = 15, kind: str | None = None) -> DataFrame:
+        """The nodes (node, kind, vector, name) that best complete a head and a relation, without the head itself."""
+        start = nodes.where(F.lower("name") == head.strip().lower()).select("node", "vector").first()
+        if start is None:
+            raise KeyError(head)
+        asked = links.distmult_query(literal(start["vector"]), literal(relation))
+        return links.top_links(nodes, asked, capped("candidates", top_k), kind, (start["node"],)).join(nodes.select("node", "name"), "node").orderBy("rank")

@@ -71,3 +71,17 @@ def test_embedding_is_incremental(engine, spark):
 
 def test_command_line(engine):
     assert "| cream | treats | disease |" in main([engine.store.folder, "export", "--limit", "5"])
+
+
+def test_candidates_and_predictions(engine, spark):
+    priors = [("opentargets", "drug", "C1", "E", "Cream", "PHASE_3"), ("opentargets", "drug", "C2", "E", "Tabletol", "PHASE_2"), ("opentargets", "target", "G", "E", "JAK1", None)]
+    engine.store.upsert("priors", conform(spark.createDataFrame(priors, "source string, kind string, source_id string, disease_id string, name string, clinical_stage string"), "priors"))
+    edges = spark.createDataFrame([("lotion", "treats", "disease", 0.9, "llm")], "subject string, predicate string, object string, confidence double, extraction_method string")
+    engine.store.upsert("graph_edges", conform(edges, "graph_edges"))
+    rows = engine.candidates(5).collect()
+    assert [r["name"] for r in rows][-1] == "Tabletol" and rows[-1].score == 0 and {r.token for r in rows} == {r.token for r in rows if r.token != "jak1"}
+    nodes = spark.createDataFrame([(1, "drug", [1.0, 0.0], "A"), (2, "drug", [0.9, 0.1], "B"), (3, "target", [2.0, 1.0], "C")], "node long, kind string, vector array<double>, name string")
+    assert [r.name for r in engine.predictions(nodes, " a ", [1.0, 1.0], 2).collect()] == ["C", "B"]
+    assert [r.name for r in engine.predictions(nodes, "A", [1.0, 1.0], 2, "drug").collect()] == ["B"]
+    with pytest.raises(KeyError):
+        engine.predictions(nodes, "nobody", [1.0, 1.0])
