@@ -113,3 +113,31 @@ def lineage_profile(counts: DataFrame, markers: DataFrame, floor: int = 500, lea
     cells = best.groupBy("lineage").agg(F.count("*").alias("cells"))
     per = logged.join(best.select("cell", "lineage"), "cell").groupBy("gene", "lineage").agg(F.sum("x").alias("x"), F.count_if(F.col("n") > 0).alias("d")).join(cells, "lineage")
     return per.select("gene", "lineage", (F.col("x") / F.col("cells")).alias("mean"), (F.col("d") / F.col("cells")).alias("detected"))
+
+
+def atlas_record(trials: DataFrame, catalogue: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Registry trials as atlas rows: agents, routes, number of arms, and whether light was part of the treatment.
+
+    Routes come from interventions that are no placebo.  ``phototherapy`` has three values: a
+    trial that lists its interventions has it or has it not; for one that lists none it is null.
+    """
+    from tessera.functions.labels import CONTROL_WORDS, LIGHT_WORDS, ROUTE_WORDS, any_word
+    from tessera.functions.text import match_aliases
+
+    none = F.array().cast("array<string>")
+    names = F.transform(F.coalesce("interventions", F.array().cast(trials.schema["interventions"].dataType)), lambda i: F.lower(F.concat_ws(" ", i["name"], i["description"])))
+    rows = trials.withColumn("_i", names).withColumn("_own", F.filter("_i", lambda x: ~x.rlike(any_word(CONTROL_WORDS))))
+    said = F.array_join("_i", " | ")
+    routes = F.array_compact(F.array(*[F.when(F.exists("_own", lambda x: x.rlike(any_word(words))), F.lit(route)) for route, words in ROUTE_WORDS.items()]))  # noqa: B023
+    light = F.when(F.size("_i") > 0, said.rlike(any_word(LIGHT_WORDS)))
+    agents = F.coalesce(match_aliases(said, catalogue), none)
+    return rows.select("source_id", agents.alias("agents"), F.array_sort(routes).alias("routes"), F.size("_i").alias("interventions"), light.alias("phototherapy"))
+
+
+def watch(feeds: dict[str, DataFrame], since: str, catalogue: dict[str, tuple[str, ...]], most: int) -> DataFrame:
+    """Hits of several feeds (id, title, date) on or after a day, in one form with the agents that titles name, the newest first."""
+    from tessera.functions.text import match_aliases
+
+    parts = [df.where(F.col("date") >= F.lit(since).cast("date")).select(F.lit(name).alias("feed"), F.col("id").cast("string").alias("id"), "title", "date") for name, df in feeds.items()]
+    hits = reduce(lambda a, b: a.unionByName(b), parts)
+    return hits.withColumn("agents", match_aliases(F.col("title"), catalogue)).orderBy(F.desc("date"), "feed", "id").limit(most)

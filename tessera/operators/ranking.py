@@ -69,3 +69,13 @@ def shortlist(df: DataFrame, raw: str, k: int, most_penalty: float) -> DataFrame
 def diverse(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
     """At most ``most`` rows of each group, in score order: the greedy pick is the group's own prefix."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_nth") <= most).drop("_nth")
+
+
+def duplicate_flags(df: DataFrame, key: str, content: Column, value: Column) -> DataFrame:
+    """Rows (key, copies, differ): how many rows have the same content, and whether their values differ.
+
+    Contents are counted before they meet their rows again, so many copies make no large group.
+    """
+    rows = df.select(key, F.sha2(content, 256).alias("_c"), value.alias("_v"))
+    counts = rows.groupBy("_c").agg(F.count("*").alias("copies"), (F.min("_v") != F.max("_v")).alias("differ"))
+    return rows.join(counts, "_c").select(key, "copies", "differ")

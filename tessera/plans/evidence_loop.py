@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.passages import Marks, sections
-from tessera.operators import aggregates, discovery, embedding, enrichment, joins
+from tessera.operators import aggregates, discovery, embedding, enrichment, ingestion, joins, ranking
 from tessera.plans.payloads import folder
 from tessera.plans.registry import load, query
-from tessera.sources import common, sinks
+from tessera.sources import common, registries, sinks
 
 
 @query("j13_outcome_rows", """
@@ -237,3 +237,58 @@ def g11b(spark, d):
     lesions = l.select("source_id", one, F.lit("all").alias("class_title"), F.lit("Lesions").alias("units"), "group_id", F.lit(7).alias("n"))
     found = enrichment.posted_rows(cells, groups, whole.union(own).union(lesions))
     return found.select("source_id", "subject", "value", "n", F.transform("versus", lambda v: v["value"]).alias("versus"))
+
+
+@query("w08_duplicate_flags", """
+SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies, (SELECT count(DISTINCT lang || source) FROM documents b WHERE b.text = a.text) > 1 AS differ FROM documents a""")
+def w08(spark, d):
+    return ranking.duplicate_flags(load(spark, d, "documents"), "doc_id", F.col("text"), F.concat("lang", "source"))
+
+
+@query("u02_union_priors", "SELECT s_name AS name, 'drug' AS kind, 'opentargets' AS source FROM supplier UNION ALL SELECT p_name, 'target', 'drugbank' FROM part")
+def u02(spark, d):
+    drugs = load(spark, d, "supplier").select(F.lit("opentargets").alias("source"), F.lit("drug").alias("kind"), F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_name").alias("name"), (F.col("s_acctbal") / 1e4).alias("score"))
+    targets = load(spark, d, "part").select(F.lit("drugbank").alias("source"), F.lit("target").alias("kind"), F.col("p_partkey").cast("string").alias("source_id"), F.col("p_name").alias("name"))
+    return common.union_all([common.conform(x, "priors") for x in (drugs, targets)]).select("name", "kind", "source")
+
+
+@query("x03_atlas_record", """
+SELECT s_suppkey::VARCHAR AS source_id, CASE s_suppkey % 4 WHEN 0 THEN ['ruxo'] WHEN 1 THEN ['ruxo', 'upa'] ELSE [] END AS agents, CASE s_suppkey % 4 WHEN 0 THEN ['topical'] WHEN 1 THEN ['oral', 'topical'] ELSE [] END AS routes, CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS interventions, CASE s_suppkey % 4 WHEN 0 THEN FALSE WHEN 1 THEN FALSE WHEN 2 THEN TRUE END AS phototherapy FROM supplier""")
+def x03(spark, d):
+    item = lambda name, text: F.struct(F.lit(name).alias("name"), F.lit(text).alias("description"))
+    k = F.col("s_suppkey") % 4
+    given = F.when(k == 0, F.array(item("Ruxolitinib", "1.5% cream BID"), item("Vehicle", "matching tablet"))).when(k == 1, F.array(item("ruxolitinib gel", "x"), item("Upadacitinib", "Oral dose"))).when(k == 2, F.array(item("Narrow-band", "NB-UVB twice a week")))
+    trials = load(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), given.alias("interventions"))
+    return ingestion.atlas_record(trials, {"ruxo": ("ruxolitinib",), "upa": ("upadacitinib",)})
+
+
+@query("x12_watch_feeds", """
+WITH h AS (SELECT 'orders' AS feed, o_orderkey::VARCHAR AS id, 'Study of drug' || (o_custkey % 3) AS title, o_orderdate::DATE AS date FROM orders UNION ALL SELECT 'events', event_id::VARCHAR, event_type, ts::DATE FROM events) SELECT feed, id, title, CASE WHEN title LIKE '%drug1' THEN ['one'] ELSE [] END AS agents FROM h WHERE date >= DATE '1995-06-01' ORDER BY date DESC, feed, id LIMIT 200""")
+def x12(spark, d):
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Study of drug"), (F.col("o_custkey") % 3).cast("string")).alias("title"), F.to_date("o_orderdate").alias("date"))
+    events = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.to_date("ts").alias("date"))
+    return ingestion.watch({"orders": orders, "events": events}, "1995-06-01", {"one": ("drug1",)}, 200).select("feed", "id", "title", "agents")
+
+
+@query("c12_redacted_export", "SELECT s_suppkey::VARCHAR AS \"TrialID\", 'Fund of [email removed], tel. [phone removed]' AS \"Source_Support\" FROM supplier")
+def c12(spark, d):
+    said = F.concat(F.lit("Fund of a"), F.col("s_suppkey").cast("string"), F.lit("@x.org, tel. +1 555 100 2000"))
+    rows = load(spark, d, "supplier").select(F.col("s_suppkey").alias("TrialID"), said.alias("Source_Support"), F.col("s_name").alias("Contact_Firstname"))
+    return registries.redacted_export(rows, ("TrialID", "Source_Support", "Phase"))
+
+
+@query("c12_personal_grids", "SELECT s_suppkey, '<td></td><span id=\"DataList3_ctl01_TitleLabel\">Of ' || s_suppkey || ', phone: [phone removed]</span>' AS html FROM supplier")
+def c12b(spark, d):
+    page = F.concat(F.lit('<td><span id="DataList2_ctl01_NameLabel">'), "s_name", F.lit('\nStreet</span></td><span id="DataList3_ctl01_TitleLabel">Of '), F.col("s_suppkey").cast("string"), F.lit(", phone: 555 100 2000</span>"))
+    return load(spark, d, "supplier").select("s_suppkey", registries.strip_personal(page, ("DataList2", "DataList20")).alias("html"))
+
+
+@query("m14_checked_forecasts", "SELECT s_suppkey AS key, unnest(CASE s_suppkey % 5 WHEN 0 THEN ['the seal does not match'] WHEN 1 THEN ['quantiles are not in order'] WHEN 2 THEN ['quantiles are not in order', 'a rate is beyond 0 and 1'] WHEN 3 THEN ['frozen after the outcome'] ELSE [] END) AS problem FROM supplier")
+def m14(spark, d):
+    k = F.col("s_suppkey") % 5
+    f = load(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.when(k == 3, F.lit("2024-05-01")).otherwise("2024-01-01").cast("date").alias("frozen_at"), F.col("s_name").alias("payload"), F.when(k == 0, "0").otherwise(F.sha2("s_name", 256)).alias("sha256"),
+        F.lit(0.5).alias("mean"), F.when(k == 1, 0.9).otherwise(0.5).alias("median"), F.lit(0.1).alias("lo95"), F.lit(0.2).alias("lo80"), F.lit(0.8).alias("hi80"), F.when(k == 2, 1.2).otherwise(0.9).alias("hi95"),
+    ).withColumn("lo95", F.when(F.col("hi95") > 1, 0.3).otherwise(F.col("lo95")))
+    posted = load(spark, d, "supplier").where("s_suppkey % 5 <> 4").select(F.col("s_suppkey").alias("key"), F.lit("2024-03-01").cast("date").alias("posted_at"))
+    return discovery.check_forecasts(f, posted)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import labels, passages, stats, text, udfs
-from tessera.operators import evidence, ingestion, ledger, mechanisms, statistics
+from tessera.functions import labels, passages, text, udfs
+from tessera.operators import discovery, evidence, ingestion, ledger, mechanisms, statistics
 from tessera.operators.ordering import ranked
 from tessera.operators.statistics import pareto_k
 from tessera.plans.registry import load, query
@@ -27,12 +27,6 @@ def x01(spark, d):
     return ingestion.flatten_results(trials).select("source_id", "class_title", "group_id", "group_title", "value", "n_analyzed")
 
 
-@query("x03_three_valued", "SELECT p_partkey, CASE WHEN p_type LIKE '%LARGE%' THEN TRUE WHEN p_type LIKE '%PROMO%' THEN FALSE END AS phototherapy FROM part")
-def x03(spark, d):
-    t = F.col("p_type")
-    return load(spark, d, "part").select("p_partkey", F.when(t.contains("LARGE"), F.lit(True)).when(t.contains("PROMO"), F.lit(False)).alias("phototherapy"))
-
-
 @query("x04_overrides", "SELECT s_suppkey, CASE WHEN n_nationkey < 5 AND s_suppkey % 2 = 0 THEN n_name ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def x04(spark, d):
     table = load(spark, d, "nation").where("n_nationkey < 5").select("n_nationkey", F.col("n_name").alias("name"))
@@ -54,12 +48,6 @@ def x06(spark, d):
     return ingestion.not_held(k.where("doc_id % 10 <> 0"), {"tkey": k.where("doc_id % 10 = 0")}, "doc_id").select("doc_id")
 
 
-@query("x12_watch_since", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 3 DAY FROM events) ORDER BY ts DESC, event_id DESC LIMIT 100")
-def x12(spark, d):
-    e = load(spark, d, "events").select("event_id", "ts")
-    return e.withColumn("m", e.agg(F.max("ts")).scalar()).where("ts >= m - INTERVAL 3 DAY").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).drop("m")
-
-
 @query("x13_held_out", "SELECT doc_id, list_sum(list_transform(string_split(h, ''), lambda c: strpos('0123456789abcdef', c) - 1)) % 5 = 0 AND (strpos('0123456789abcdef', right(h, 1)) - 1) % 4 = 0 AS held_out FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM documents)")
 def x13(spark, d):
     return load(spark, d, "documents").select("doc_id", ingestion.held_out(F.col("doc_id").cast("string")).alias("held_out"))
@@ -155,9 +143,9 @@ def m07(spark, d):
 @query("m06_bounds_check", """
 WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS r, max(l_linenumber) AS wk FROM lineitem GROUP BY 1, 2), m AS (SELECT l_suppkey, max(n) AS grp FROM g GROUP BY 1) SELECT l_suppkey, l_returnflag, 100.0 * r / grp <= 40 AND 40 <= 100.0 * (r + grp - n) / grp AS inside FROM g JOIN m USING (l_suppkey)""")
 def m06(spark, d):
-    g = load(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("r"))
-    g = g.withColumn("grp", F.max("n").over(Window.partitionBy("l_suppkey")))
-    return g.select("l_suppkey", "l_returnflag", stats.covers(stats.bounds(F.col("r"), F.col("n"), F.col("grp")), F.lit(40.0)).alias("inside"))
+    cells = load(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("responders")).withColumn("week", F.lit(24))
+    predictions = cells.select("l_suppkey", "week", "threshold", F.lit(0.4).alias("predicted"))
+    return discovery.check_bounds(predictions, cells, ["l_suppkey"]).select("l_suppkey", F.col("threshold").alias("l_returnflag"), "inside")
 
 
 _LL = "{r} * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + ({n} - {r}) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12))"

@@ -42,17 +42,6 @@ def k01b(spark, d):
     return sinks.stale_embeddings(e, e.where("document_id % 4 = 0")).select(F.col("document_id").alias("vec_id"))
 
 
-@query("k05_graph_snapshot", "SELECT o_orderkey, o_totalprice FROM orders")
-def k05(spark, d):
-    return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
-
-
-@query("k08_triples", "SELECT n_name AS subject, 'in' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey")
-def k08(spark, d):
-    r = load(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return load(spark, d, "nation").join(r, "n_regionkey").select(F.col("n_name").alias("subject"), F.lit("in").alias("predicate"), F.col("r_name").alias("object"))
-
-
 @query("c07_affiliation_countries", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN ['Spain'] WHEN n_nationkey % 3 = 1 THEN ['Pakistan'] ELSE []::VARCHAR[] END AS countries FROM nation")
 def c07(spark, d):
     a = F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'Dept, Lahore Road, Spain' WHEN 1 THEN 'University, Lahore' ELSE 'Institute' END")
@@ -280,12 +269,6 @@ def t11(spark, d):
     return discovery.pending_by_information(s.select(F.col("s_suppkey").alias("key")), s.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("information")), s.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("key")))
 
 
-@query("u02_union_priors", "SELECT s_name AS name, 'drug' AS kind FROM supplier UNION ALL SELECT p_name, 'target' FROM part")
-def u02(spark, d):
-    drugs = load(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("drug").alias("kind"))
-    return drugs.unionByName(load(spark, d, "part").select(F.lit("target").alias("kind"), F.col("p_name").alias("name")))
-
-
 @query("a11_weighted_relevance", r"""
 WITH h AS (SELECT doc_id, t, CASE WHEN regexp_matches(lower(left(text, 60)), '(^|[^a-z0-9])' || t) THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM documents, (VALUES ('the'), ('que')) x(t) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || t)), i AS (SELECT t, ln(((SELECT count(DISTINCT doc_id) FROM h) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM h GROUP BY t) SELECT doc_id, sum(idf * w) AS relevance FROM h JOIN i USING (t) GROUP BY doc_id""")
 def a11(spark, d):

@@ -155,14 +155,6 @@ def w07(spark, d):
     return ranked.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("l_suppkey")))).alias("others")).where(F.size("others") > 0)
 
 
-@query("w08_duplicate_flags", """
-SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies, (SELECT count(DISTINCT lang || source) FROM documents b WHERE b.text = a.text) > 1 AS differ FROM documents a""")
-def w08(spark, d):
-    w = Window.partitionBy("h")
-    rows = load(spark, d, "documents").select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), F.concat("lang", "source").alias("v"))
-    return rows.select("doc_id", F.count("*").over(w).alias("copies"), (F.min("v").over(w) != F.max("v").over(w)).alias("differ"))
-
-
 @query("w09_nested_min", """
 SELECT l_orderkey, l_linenumber, min(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS nested, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n_first FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)""")
 def w09(spark, d):

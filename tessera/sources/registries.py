@@ -125,3 +125,15 @@ def who_pages(pages: DataFrame, html: str) -> DataFrame:
     names = {"Date_registration2": "Date_registration", "last_updated": "Last_updated", "Recruitment_status2": "Recruitment_status"}
     get = lambda c: redact(F.try_element_at("m", F.lit(names.get(c, c))))
     return conform(maps.select(*_who_row(get)).where("source_id IS NOT NULL"), "trials")
+
+
+def redacted_export(rows: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """An export as it may be cached: only the named columns that it has, each without contact details in its prose."""
+    return rows.select(*[redact(F.col(f"`{c}`").cast("string")).alias(c) for c in kept if c in rows.columns])
+
+
+def strip_personal(html: Column, grids: tuple[str, ...]) -> Column:
+    """A record page without its grids of persons, and without contact details elsewhere."""
+    for grid in grids:
+        html = F.regexp_replace(html, rf'(?s)<span id="{grid}_ctl\d+_[^"]*"[^>]*>.*?</span>', "")
+    return redact(html)
