@@ -45,7 +45,7 @@ def reliable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     name = new_folder(spark, "table")
-    df.write.parquet(name)
+    df.write.option("compression", "none").parquet(name)  # short-lived, mostly hashes: no codec buffers outside the heap
     out = spark.read.schema(df.schema).parquet(name)
     out._kept_at = name
     return out
