@@ -215,7 +215,7 @@ def c06(spark, d):
 @query("c09_keyword_in_context", r"SELECT doc_id, len(regexp_extract_all(text, 'queen\w*')) AS n FROM documents WHERE contains(text, 'queen')")
 def c09(spark, d):
     docs = load(spark, d, "documents").where(F.contains("text", F.lit("queen")))
-    return docs.select("doc_id", F.size(udfs.in_context("text", F.lit(r"queen\w*"), F.lit(150))).cast("long").alias("n"))
+    return docs.select("doc_id", F.size(udfs.in_context("text", F.lit(r"(?a:queen\w*)"), F.lit(150))).cast("long").alias("n"))
 
 
 @query("c20_arm_label", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'placebo' ELSE 'active' END AS role, CASE WHEN l_returnflag <> 'N' THEN l_linenumber::DOUBLE END AS dose_value, CASE l_returnflag WHEN 'R' THEN 'BID' WHEN 'A' THEN 'QD' END AS frequency, CASE l_returnflag WHEN 'R' THEN 'topical' WHEN 'A' THEN 'oral' END AS route FROM lineitem")
