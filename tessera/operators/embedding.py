@@ -19,7 +19,11 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
-    """Unit-length hashed term frequencies: an encoder that needs no model."""
+    """Unit-length hashed term frequencies: an encoder that needs no model.
+
+    A text without words, or whose words cancel each other out, counts as one term, so that
+    every text that is not empty has unit length.
+    """
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
@@ -27,6 +31,9 @@ def hashing_encoder(dim: int = 256) -> Encoder:
             for w in (t or "").lower().split():
                 h = zlib.crc32(w.encode())
                 out[i, h % dim] += 1 if h & 1 << 31 else -1
+            if t and not out[i].any():
+                h = zlib.crc32(t.encode())
+                out[i, h % dim] = 1 if h & 1 << 31 else -1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

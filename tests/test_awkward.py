@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import duckdb
 import pytest
 from test_oracle import place, plain, same
@@ -33,3 +35,22 @@ def differing(spark, tmp_path):
 def test_a_keyword_ends_where_ascii_words_end(differing):
     texts = ["queen", "queenêqueen", "èqueeneuxqueen queens", "queen_2 Queen", "none", "", None, "queenß queené queen"]
     assert not differing("c09_keyword_in_context", documents=(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_every_text_that_is_not_blank_has_a_vector_of_unit_length(differing):
+    words = [f"w{i}" for i in range(200)]
+    places = {}
+    for w in words:
+        h = zlib.crc32(w.encode())
+        places.setdefault((h % 32, h >> 31), w)
+    k = next(k for k in range(32) if (k, 0) in places and (k, 1) in places)
+    cancels = f"{places[k, 0]} {places[k, 1]}"
+    texts = [cancels, cancels.upper(), f"{cancels} {cancels}", "\n", "\t\r\n", " ", "\u00a0", " \u3000\u2003 ", "\u2028", "\u00a0\n", "", None, "a", "\u00a0a ", "\U0001f600"]
+    rows = [(3 * i + 1, t) for i, t in enumerate(texts)] + [(3, "held"), (6, "\n")]
+    assert not differing("v06_pending_embeddings", documents=(rows, "doc_id long, text string"))
+
+
+def test_spaces_of_all_kinds_go_from_titles_and_abstracts(differing):
+    texts = [" a ", "\u00a0a\u3000", "\u2003", "", None, "a\u00a0b", "\nb\n", "\u200bc"]
+    rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in texts)]
+    assert not differing("c33_title_and_abstract", documents=(rows, "doc_id long, text string, source string"))
