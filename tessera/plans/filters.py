@@ -68,7 +68,8 @@ def f09(spark, d):
 SELECT doc_id, doc_id % 4 IN (0, 2) OR doc_id % 8 = 3 AS verdict, CASE WHEN doc_id % 4 = 1 THEN 'title names another condition' WHEN doc_id % 4 IN (0, 2) THEN 'title names the topic' WHEN doc_id % 8 = 3 THEN 'abstract names them as subjects' ELSE 'none' END AS rule FROM documents""")
 def f10(spark, d):
     title = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Outcomes in Topicosis and melanoma' WHEN 1 THEN 'Melanoma after topicosis' WHEN 2 THEN 'On topicosis' ELSE 'A study' END")
-    abstract = F.concat(F.col("text"), F.expr("CASE doc_id % 8 WHEN 3 THEN ' patients  with topicosis' ELSE ' topicosis' END"))
+    # A sentence of its own: after a text that ends with "in", the bare word would name subjects.
+    abstract = F.concat(F.coalesce("text", F.lit("")), F.expr("CASE doc_id % 8 WHEN 3 THEN '. patients  with topicosis' ELSE '. topicosis' END"))
     gate = publications.studies_topic(title, abstract, ("topicosis",), ("melanoma",))
     return load(spark, d, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.verdict", "g.rule")
 

@@ -54,3 +54,9 @@ def test_spaces_of_all_kinds_go_from_titles_and_abstracts(differing):
     texts = [" a ", "\u00a0a\u3000", "\u2003", "", None, "a\u00a0b", "\nb\n", "\u200bc"]
     rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in texts)]
     assert not differing("c33_title_and_abstract", documents=(rows, "doc_id long, text string, source string"))
+
+
+def test_the_end_of_a_text_names_no_subjects(differing):
+    texts = ["It was seen In", "patients with", "treatment of ", "in\n-", "x", "", None, "topic", "in-"]
+    rows = [(8 * i + k, t) for i, t in enumerate(texts) for k in range(8)]
+    assert not differing("f10_population_gate", documents=(rows, "doc_id long, text string"))
