@@ -18,8 +18,8 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def first_distinct(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """Ordered dedup: the first row of each key, and its new rank in the order."""
-    return ranked(best_per_key(df, [key], [F.col(ordinal)]), [F.col(ordinal)])
+    """Ordered dedup: the first row of each key, and its new rank in the order; keys of one ordinal by key."""
+    return ranked(best_per_key(df, [key], [F.col(ordinal)]), [F.col(ordinal), F.col(key)])
 
 
 def adjusted_p(df: DataFrame, p: str, key: str, family: list[str]) -> DataFrame:

@@ -6,8 +6,10 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import place, plain, same
 
+from tessera.operators import ranking
 from tessera.plans import ORACLE_SQL, QUERIES
 
 
@@ -60,3 +62,13 @@ def test_the_end_of_a_text_names_no_subjects(differing):
     texts = ["It was seen In", "patients with", "treatment of ", "in\n-", "x", "", None, "topic", "in-"]
     rows = [(8 * i + k, t) for i, t in enumerate(texts) for k in range(8)]
     assert not differing("f10_population_gate", documents=(rows, "doc_id long, text string"))
+
+
+def test_keys_of_one_ordinal_have_their_ranks_by_key(spark):
+    df = spark.createDataFrame([(k, o) for k in range(60) for o in (k // 20, 5)], "k long, ord long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = ranking.first_distinct(df, "k", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["rank"], r.k, r.ord) for r in rows) == [(k + 1, k, k // 20) for k in range(60)]
