@@ -99,3 +99,13 @@ def log_mean_exp(values: Column) -> Column:
     peak = F.array_max(values)
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - peak))
     return peak + F.log(total / F.size(values))
+
+
+def exact_mean(name: str) -> Column:
+    """Mean of a column of doubles that does not depend on the order of its rows, so that equal means are equal.
+
+    It sums decimals of 18 places; a group with a value that such a decimal does not hold is summed as doubles.
+    """
+    x = F.col(name)
+    exact = x.try_cast("decimal(28,18)")
+    return F.when(F.count_if(exact.cast("double") == x) == F.count(x), F.try_avg(exact).cast("double")).otherwise(F.avg(x))

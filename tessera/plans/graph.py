@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import exact_mean
 from tessera.operators import graph, links
 from tessera.plans.registry import load, query
 
@@ -131,6 +132,6 @@ t AS (SELECT drug, 'n' || (drug % 70) AS name, matches, 0.6 * (mean + 0.35 * lea
 o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, drug) AS k FROM t) SELECT drug, name, score, matches, row_number() OVER (ORDER BY score DESC, drug) AS rank FROM o WHERE k = 1""")
 def g21(spark, d):
     l = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("drug"), (F.col("l_partkey") % 20).alias("target"))
-    s = l.agg((F.avg("l_discount") * 10).alias("score"), F.max("l_quantity").alias("q"))
+    s = l.agg((exact_mean("l_discount") * 10).alias("score"), F.max("l_quantity").alias("q"))
     overall = load(spark, d, "supplier").select(F.col("s_suppkey").alias("drug"), F.concat(F.lit("n"), (F.col("s_suppkey") % 70).cast("string")).alias("name"), (F.col("s_acctbal") / 10000).alias("treats"), (F.col("s_nationkey") / 25.0 - 0.5).alias("causes"), F.when(F.col("s_suppkey") % 5 == 0, 0.45).otherwise(0.0).alias("adjustment"))
     return links.screen(s.drop("q"), s.where("q >= 50 AND drug % 3 = 0").select("drug", "target"), overall)

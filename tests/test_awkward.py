@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import place, plain, same
 
+from tessera.functions import stats
 from tessera.operators import ranking
 from tessera.plans import ORACLE_SQL, QUERIES
 
@@ -72,3 +74,19 @@ def test_keys_of_one_ordinal_have_their_ranks_by_key(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r["rank"], r.k, r.ord) for r in rows) == [(k + 1, k, k // 20) for k in range(60)]
+
+
+def test_drugs_of_equal_means_rank_by_drug_whatever_the_order_of_their_rows(spark, tmp_path):
+    rows = [(1, 0.3), (2, 0.1), (1, 0.2), (2, 0.2), (1, 0.1), (2, 0.3), (4, 0.5), (4, None)]  # 0.1 + 0.2 + 0.3 > 0.3 + 0.2 + 0.1 as doubles
+    spark.createDataFrame([(s, 20, x, 1.0) for s, x in rows], "l_suppkey long, l_partkey long, l_discount double, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, 100.0, 3) for s in (1, 2, 4)], "s_suppkey long, s_acctbal double, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["g21_reverse_screen"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.drug for r in got] == [4, 1, 2] and got[1].score == got[2].score
+
+
+def test_a_mean_is_exact_where_decimals_hold_its_values(spark):
+    cases = {1: [0.1, 0.2, 0.3, None], 2: [0.3, 0.2, 0.1], 3: [1e30, 2e30], 4: [1.0, float("nan")], 5: [float("inf"), 1.0], 6: [None], 7: [1e-30], 8: [-5.5, 5.5], 9: [1e10, 9.9e9]}
+    df = spark.createDataFrame([(k, x) for k, xs in cases.items() for x in xs], "k int, x double").coalesce(1)
+    got = {r.k: r.m for r in df.groupBy("k").agg(stats.exact_mean("x").alias("m")).collect()}
+    assert got[1] == got[2] == 0.2 and math.isclose(got[3], 1.5e30) and math.isnan(got[4]) and got[5] == float("inf")
+    assert got[6] is None and got[7] == 1e-30 and got[8] == 0 and got[9] == 9.95e9
