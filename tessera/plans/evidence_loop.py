@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.passages import Marks, sections
+from tessera.functions.text import sponsor_key
 from tessera.operators import aggregates, discovery, embedding, enrichment, ingestion, joins, ranking
 from tessera.plans.payloads import folder
 from tessera.plans.registry import load, query
@@ -213,7 +214,9 @@ def a08(spark, d):
         F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'PHASE_3' WHEN 1 THEN 'PHASE_2' END").alias("stage"), F.array(F.when(F.col("l_linestatus") == "F", "oral").otherwise("topical")).alias("routes"),
         F.expr("CASE WHEN l_suppkey % 2 = 0 THEN concat('Sp ', l_suppkey % 8, ', Inc.') ELSE concat('SP ', l_suppkey % 8) END").alias("sponsor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_quantity") > 49).alias("has_results"),
     )
-    return aggregates.agent_summary(rows)
+    name = F.col("sponsor")  # as in the SQL, lines without a supplier have one sponsor, which has no name, and names without a digit after "SP" are one
+    key = F.when(name.rlike("(?i)sp [0-9]"), sponsor_key(name)).when(name.isNotNull(), "")
+    return aggregates.agent_summary(rows, key)
 
 
 @query("g11_adverse_edges", """

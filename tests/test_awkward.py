@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_oracle import place, plain, same
 
 from tessera.functions import stats
-from tessera.operators import ranking
+from tessera.operators import aggregates, ranking
 from tessera.plans import ORACLE_SQL, QUERIES
 
 
@@ -101,3 +101,40 @@ def test_of_probes_with_equal_means_the_first_stands_for_its_gene(spark, tmp_pat
     rows = [(1, 3, x) for x in (0.3, 0.2, 0.1)] + [(1, 4, x) for x in (0.1, 0.2, 0.3)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in QUERIES["a16_probe_to_gene"](spark, str(tmp_path)).collect()] == [(1, 3, 0.2)]
+
+
+_LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+
+
+def _lines(*suppliers, order=lambda i: i, number=lambda i: 1 + i % 7):
+    """A line of one part for each supplier; no two have one ordinal."""
+    return [(order(i), 12, s, number(i), 50.0, "ANR"[i % 3], "FO"[i % 2]) for i, s in enumerate(suppliers)], _LINES
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [
+        _lines(3, None, 4, 3, None, 1),
+        _lines(None, None),
+        _lines(3, 4, 3, 1, 5, order=lambda i: None if i in (0, 1) else i),
+        _lines(3, 4, 3, 1, 5, number=lambda i: None if i in (0, 1) else 1 + i),
+        _lines(3, -3, -4, 4, -8, None, 0, -1),
+    ],
+    ids=["no supplier", "no supplier at all", "no order", "no line number", "suppliers below zero"],
+)
+def test_an_agent_s_sponsors_where_keys_are_missing_or_below_zero(differing, lines):
+    assert not differing("a08_agent_record", lineitem=lines)
+
+
+def test_an_agent_s_sponsors_of_one_ordinal_go_by_name(spark, tmp_path):
+    rows = [(1, 12, s, 1, 50.0, "A", "F") for s in (7, 2, 5, 4, 2)] + [(0, 12, 1, 1, 50.0, "A", "F")]
+    for n, some in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(some, _LINES).coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        (row,) = QUERIES["a08_agent_record"](spark, f"{tmp_path}/{n}").collect()
+        assert row.sponsors == ["SP 1", "SP 5", "SP 7", "Sp 2, Inc.", "Sp 4, Inc."]
+
+
+def test_an_agent_s_records_without_a_sponsor_name_none(spark):
+    records = [("a", "S", "S", None, None, ["oral"], s, o, True) for s, o in (("Pfizer", 2), (None, 1), ("PFIZER, Inc.", None), ("Incyte", None), ("Lilly", 3))]
+    df = spark.createDataFrame(records, "agent string, study_id string, source_id string, status string, stage string, routes array<string>, sponsor string, ordinal long, has_results boolean")
+    assert aggregates.agent_summary(df).first().sponsors == ["Pfizer", "Lilly", "Incyte"]
